@@ -5,8 +5,11 @@ from __future__ import annotations
 from importlib import import_module
 
 _QUERIES = {
+    "op1_near_duplicates": ("neardup", "near_dup_query"),
     "op6_language_id": ("langid", "langid_query"),
+    "op8_decontamination": ("decontam", "decontam_query"),
     "op9_toxicity": ("toxicity", "toxicity_query"),
+    "op10_license_scan": ("license_scan", "license_query"),
 }
 
 ORACLES: dict[str, str] = {}

@@ -26,7 +26,7 @@ from ._text import LOWER, WordHashes, chunks, mix, word_hashes
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 TABLE = LOWER.translate(bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION)))
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 10_000
 
 
 @dataclass(frozen=True)
