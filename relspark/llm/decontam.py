@@ -41,10 +41,12 @@ def with_shingles(df: DataFrame, text_col: str, out: str, width: int = 5) -> Dat
     """``df`` with the sorted distinct shingle hashes of ``text_col`` instead of it, without wordless rows.
 
     The word array gets a projection of its own: inside a lambda it would be split again for every word.
+    For the same reason the arrays are unnested by ``explode_outer``: ``explode`` makes the optimizer put a
+    filter on the array's size below that projection.
     """
     text = F.btrim(F.lower(F.col(text_col)), F.lit(_SPACE))
     rest = [c for c in df.columns if c != text_col]
-    words = df.select(*rest, F.split(text, r"[\x20\x09-\x0D]+").alias(out)).where(F.get(out, 0) != "")
+    words = df.where(F.btrim(F.col(text_col), F.lit(_SPACE)) != "").select(*rest, F.split(text, r"[\x20\x09-\x0D]+").alias(out))
     rolled = F.transform(out, lambda x, i: F.xxhash64(x, *[F.get(out, i + k) for k in range(1, width)]))
     whole = F.slice(rolled, F.lit(1), F.greatest(F.size(out) - (width - 1), F.lit(1)))
     return words.select(*rest, F.sort_array(F.array_distinct(whole)).alias(out))
@@ -69,7 +71,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     spark = docs.sparkSession
     folder = shared_dir(spark)
     item = items.select(F.col(item_id_col).alias("item"), F.col(item_text_col).alias("h")).where("item IS NOT NULL")
-    item = with_shingles(item, "h", "h").select("item", F.explode("h").alias("h")).distinct()
+    item = with_shingles(item, "h", "h").select("item", F.explode_outer("h").alias("h")).distinct()
     sized = item.groupBy("item").agg(F.count("*").alias("n_item"))
     item = keep(item.join(sized, "item"), "items", folder)
     count, least = item.agg(F.count("*"), F.min("n_item")).first()
@@ -78,13 +80,13 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = with_shingles(texts, "text", "s")
-    found = sets.select("id", F.explode(sketch(F.col("s"), density)).alias("h")).join(sent(item), "h")
+    found = sets.select("id", F.explode_outer(sketch(F.col("s"), density)).alias("h")).join(sent(item), "h")
     pairs = keep(found.select("id", "item").distinct(), "pairs", folder)
 
     ids = pairs.select("id").distinct()
     few = pairs.count() <= BROADCAST_IDS
     again = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    again = with_shingles(again, "text", "s").select("id", F.explode("s").alias("h"))
+    again = with_shingles(again, "text", "s").select("id", F.explode_outer("s").alias("h"))
     shared = again.join(sent(item), "h").select("id", "item", "n_item", "h").distinct()
     shared = shared.groupBy("id", "item", "n_item").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     shared = shared.join(pairs, ["id", "item"], "left_semi")
