@@ -6,6 +6,7 @@ from importlib import import_module
 
 _QUERIES = {
     "op1_near_duplicates": ("neardup", "near_dup_query"),
+    "op4_packing": ("packing", "packing_query"),
     "op6_language_id": ("langid", "langid_query"),
     "op8_decontamination": ("decontam", "decontam_query"),
     "op9_toxicity": ("toxicity", "toxicity_query"),
