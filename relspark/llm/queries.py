@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from .warc import WARC_SQL
+
 _QUERIES = {
     "op1_near_duplicates": ("neardup", "near_dup_query"),
+    "op2_warc": ("warc", "warc_query"),
     "op4_packing": ("packing", "packing_query"),
     "op6_language_id": ("langid", "langid_query"),
     "op8_decontamination": ("decontam", "decontam_query"),
@@ -13,7 +16,7 @@ _QUERIES = {
     "op10_license_scan": ("license_scan", "license_query"),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_warc": WARC_SQL}
 
 
 def _bind(module: str, name: str):
