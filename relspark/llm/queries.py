@@ -9,9 +9,11 @@ from .warc import WARC_SQL
 _QUERIES = {
     "op1_near_duplicates": ("neardup", "near_dup_query"),
     "op2_warc": ("warc", "warc_query"),
+    "op3_lm_score": ("lmscore", "lm_query"),
     "op4_packing": ("packing", "packing_query"),
     "op5_nearest": ("ann", "ann_query"),
     "op6_language_id": ("langid", "langid_query"),
+    "op7_tool_calls": ("chat", "chat_query"),
     "op8_decontamination": ("decontam", "decontam_query"),
     "op9_toxicity": ("toxicity", "toxicity_query"),
     "op10_license_scan": ("license_scan", "license_query"),
