@@ -118,7 +118,8 @@ def _open(path: str, write: bool):
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    return store.open_output_stream(inner) if write else store.open_input_stream(inner)
+    # the name ends in .zst, but the frames are ours: no compression on top
+    return store.open_output_stream(inner, compression=None) if write else store.open_input_stream(inner, compression=None)
 
 
 def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100, roll_bytes: int = 64 << 20, sample_bytes: int = 4 << 20, dictionary_bytes: int = 64 << 10, level: int = 3, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
