@@ -105,3 +105,14 @@ def decontam_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that contain no benchmark item; rows without an id stay."""
     found = contaminated(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+DECONTAM_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda k: array_to_string(w[k : k + 4], ' '))) AS h FROM d WHERE len(w) > 0),
+js AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda k: array_to_string(w[k : k + 4], ' '))) AS h FROM i WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS n_item FROM js GROUP BY 1)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
+FROM ds JOIN js USING (h) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) * 100 >= n_item * 75
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from .decontam import DECONTAM_SQL
 from .warc import WARC_SQL
 
 _QUERIES = {
@@ -19,7 +20,7 @@ _QUERIES = {
     "op10_license_scan": ("license_scan", "license_query"),
 }
 
-ORACLES: dict[str, str] = {"op2_warc": WARC_SQL}
+ORACLES: dict[str, str] = {"op2_warc": WARC_SQL, "op8_decontamination": DECONTAM_SQL}
 
 
 def _bind(module: str, name: str):

@@ -134,7 +134,7 @@ def score(documents: DataFrame, model: ToxicityModel, *, text_col: str = "text",
             live = np.flatnonzero(weight[index])
             key = np.unique((text[live] << model.bits) | index[live])
             total = np.bincount(key >> model.bits, weight[key & ((1 << model.bits) - 1)], len(texts)) + model.bias
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -700, 700))))], [*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(np.isneginf(total), 0.0, 1 / (1 + np.exp(-np.clip(total, -700, 700)))))], [*batch.schema.names, out])
 
     return base.mapInArrow(run, schema)
 
