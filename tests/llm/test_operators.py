@@ -81,6 +81,20 @@ def test_near_duplicates_chain_and_passage(spark):
         assert all(got[k] == 0 for k in range(30)) and all(got[100 + k] == 100 + k for k in range(120))
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """A group of near copies of which many pairs fall just short of the threshold."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for d in range(140):
+        w = [f"w{i}" for i in range(100)]
+        for at in rng.integers(0, 100, 3):
+            w[at] = f"x{d}y{at}"
+        rows.append((d, " ".join(w)))
+    for rounds in (8, 1):
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), how=neardup.NearDup(rounds=rounds)).collect()
+        assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == components_of(rows)
+
+
 def test_dedup_stage_keeps_one(spark, messy):
     left = neardup.near_dup_stage(spark, messy, "")
     assert left.columns == messy.columns
