@@ -19,6 +19,7 @@ input are not returned.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -40,43 +41,60 @@ _SPECIAL = b"<|"
 
 
 class WordIds(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes, by the tokenizer in ``path``."""
+    """word -> its ids as little-endian unsigned 32-bit bytes, by the tokenizer in ``path``.
 
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+    An easy word is cut into its parts here, and parts go to the tokenizer's model in runs without its
+    normalizer; the ids of a part end with the run's next word-end token. Other words go to the
+    tokenizer as they are.
+    """
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.zeros(size, bool)
-        for token, i in self.tokenizer.get_vocab().items():
+    def __init__(self, path: str, most: int = 700_000):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.plain, self.most, self.parts = Tokenizer.from_file(path), Tokenizer.from_file(path), most, {}
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+        for token, i in self.whole.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        """Add all words of the texts that are missing; easy ones in runs, the rest one by one."""
-        if len(self) > self.most:
-            self.clear()
-        missing = list({w for words in texts for w in words if w not in self})
-        hard, run, parts = [], [], []
+        """Add all words of the texts that are missing; without the cycle collector, which would scan the memo again and again."""
+        gc.disable()
+        try:
+            self._learn(texts)
+        finally:
+            gc.enable()
+
+    def _learn(self, texts: list[list[bytes]]) -> None:
+        for known in (self, self.parts):
+            if len(known) > self.most:
+                known.clear()
+        missing = set().union(*texts).difference(self)
+        easy, cut, hard = [], [], []
         for w in missing:
             text = w.decode("utf-8", "replace")
             if _SPECIAL not in w and _EASY.fullmatch(text):
-                run.append((w, text))
-                parts.append(len(_PARTS.findall(text.lower())))
+                easy.append(w)
+                cut.append(_PARTS.findall(text.lower()))
             else:
                 hard.append((w, text))
-        for i in range(0, len(run), 512):
-            part, counts = run[i : i + 512], np.array(parts[i : i + 512])
-            ids = np.array(self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != counts.sum():
-                hard += part
-                continue
-            cuts = np.concatenate([[0], stops[np.cumsum(counts) - 1]])
-            for (w, _), a, b in zip(part, cuts[:-1], cuts[1:], strict=True):
-                self[w] = ids[a:b].tobytes()
+        new = list(set().union(*cut).difference(self.parts))
+        for i in range(0, len(new), 512):
+            run = new[i : i + 512]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(stops) != len(run):
+                raise ValueError("a part doesn't end with a word-end token")
+            raw = ids.tobytes()
+            for part, a, b in zip(run, [0, *stops], stops, strict=False):
+                self.parts[part] = raw[a:b]
+        known = self.parts
+        for w, parts in zip(easy, cut, strict=True):
+            self[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[x] for x in parts])
         for i in range(0, len(hard), 512):
             part = hard[i : i + 512]
-            for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
+            for (w, _), e in zip(part, self.whole.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
                 self[w] = np.array(e.ids, "<u4").tobytes()
 
 
