@@ -229,7 +229,7 @@ def _lattice(path: str) -> Lattice:
     return _lattices.get(path) or _lattices.setdefault(path, Lattice(path))
 
 
-def lm_score(docs: DataFrame, vocabulary_path: str, in_training: Column, *, id_col: str = "doc_id", text_col: str = "text", discount: float = 0.5, prior_weight: float = 100.0, rounds: int = 3, bucket_chars: int = 12_000_000) -> DataFrame:
+def lm_score(docs: DataFrame, vocabulary_path: str, in_training: Column, *, id_col: str = "doc_id", text_col: str = "text", discount: float = 0.75, prior_weight: float = 100.0, rounds: int = 3, bucket_chars: int = 12_000_000) -> DataFrame:
     """id, in_training, n_tokens, n_known, train_tokens, base_score, score; one row per input row."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
