@@ -55,7 +55,7 @@ class Lowering:
         c = self.catalog
         match t:
             case Rel(name, src, tgt):
-                return Pairs(c.pairs(c.get(name, src, tgt)), True)
+                return Pairs(*c.rows(c.get(name, src, tgt)))
             case Id(concept):
                 return Pairs(c.population(concept).select(F.col("atom").alias("src"), F.col("atom").alias("tgt")), True)
             case Atom(value, concept):
