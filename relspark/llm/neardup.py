@@ -12,10 +12,10 @@ graph are the groups.
 3. *Banding.* ``bands`` bands of ``rows`` slots; with 40 bands of 5 a link at similarity exactly 0.75
    is missed with probability 2e-5, at 0.8 with 1e-7.
 4. *Candidates without all pairs.* Every node of a bucket is held against the bucket's smallest
-   node, then against another centre, and links found so far contract the graph. Only nodes of one
-   bucket that still lie in different components are paired; a bucket with more than
-   ``bucket_pairs`` such nodes is first split by a second band (then a third) in which both must
-   agree too. A hot group thus costs as many pairs as it has members.
+   node, then against its largest; links found so far contract the graph. Nodes that still share a
+   bucket with another component meet through a prefix filter, which is exact and skips what only a
+   frequent passage has in common; there too every shingle has one centre a round. A hot group thus
+   costs a few pairs for each of its members.
 5. *Verification* on the full sets, 6. *union-find* over the verified links: each task contracts
    its share of the links to stars, until the rest fits one bounded task.
 
@@ -49,7 +49,8 @@ class NearDup:
     percent: int = 75
     bands: int = 40
     rows: int = 5
-    bucket_pairs: int = 64
+    frequent: int = 200_000
+    rounds: int = 8
     union_find_links: int = 500_000
 
     @property
@@ -223,6 +224,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spread = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     shared = keep(entries.join(spread, "key"), "buckets", folder)
     busy_nodes = shared.select("node").distinct()
+    nodes = keep(nodes.select("node", "low"), "named", folder)
+    signed = keep(signed.select("id", "n_shingles", "node"), "counted", folder)
+    for name in ("nodes", "signed"):
+        remove(spark, f"{folder}/{name}")
 
     # full sets of the nodes that share a bucket, from one text of each
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -232,23 +237,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     unnamed = unnamed.join(nodes.where("low IS NULL"), "node", "left_semi").dropDuplicates(["node"])
     sets = keep(named.union(unnamed), "sets", folder)
 
-    pairs = shared.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
-    links = keep(verified(pairs, sets, how.percent), "links0", folder)
-    roots = components(links, folder, "c0", how.union_find_links)
-
-    for turn, centre in ((1, "hi"), (2, None)):
-        rooted = shared.join(roots, "node", "left").select("key", "node", "hi", F.coalesce("root", "node").alias("root"))
-        parted = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 < r1")
-        parted = keep(rooted.join(parted, "key"), f"open{turn}", folder)
-        if parted.isEmpty():
-            break
-        if centre:
-            tops = parted.where("node = hi").select("key", F.col("root").alias("top_root"))
-            pairs = parted.where("node <> hi").join(tops, "key").where("root <> top_root").select(F.col("hi").alias("a"), F.col("node").alias("b"))
-        else:
-            pairs = _open_pairs(parted.select("key", "node", "root", "n"), nodes, folder, how)
-        found = keep(links.union(verified(pairs.distinct(), sets, how.percent)), f"links{turn}", folder)
-        links, roots = found, components(found, folder, f"c{turn}", how.union_find_links)
+    links = roots = None
+    for turn, centre in enumerate(("lo", "hi")):
+        pairs = shared.where(F.col("node") != F.col(centre)).select(F.col(centre).alias("a"), F.col("node").alias("b")).distinct()
+        if roots is not None:
+            ends = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+            pairs = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+        found = verified(pairs, sets, how.percent)
+        links = keep(found if links is None else links.union(found), f"links{turn}", folder)
+        roots = components(links, folder, f"c{turn}", how.union_find_links)
+
+    rooted = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    parted = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    open_ = keep(rooted.join(parted, "key").select("node", "root").distinct(), "open", folder)
+    if not open_.isEmpty():
+        remove(spark, f"{folder}/buckets")
+        links, roots = _linked_by_prefix(open_, sets, links, roots, folder, how)
 
     named = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("low").alias("component"))
@@ -256,32 +260,71 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     out = signed.select("id", "n_shingles", "node").join(multi.withColumnRenamed("node", "n"), (F.col("node") == F.col("n")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
     out = keep(out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")), "out", folder)
-    for name in ("signed", "nodes", "buckets", "sets"):
+    for name in ("counted", "named", "buckets", "sets", "prefix", "met"):
         remove(spark, f"{folder}/{name}")
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull() | F.col(id_col).isNull()))
 
 
-def _open_pairs(parted: DataFrame, nodes: DataFrame, folder: str, how: NearDup) -> DataFrame:
-    """All pairs of nodes of one bucket in different components; large buckets are split by further bands first."""
-    out = None
-    level = parted
-    for depth in range(3):
-        small = level.where(F.col("n") <= how.bucket_pairs)
-        here = _pairs(small)
-        out = here if out is None else out.union(here)
-        large = level.where(F.col("n") > how.bucket_pairs)
-        if depth == 2 or large.isEmpty():
-            return out.union(_pairs(large)) if depth == 2 else out
-        split = large.join(nodes.select("node", F.explode("bands").alias("band")), "node").where("band <> key")
-        split = split.select(F.xxhash64("key", "band").alias("key"), "node", "root")
-        sizes = split.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 < r1")
-        level = keep(split.join(sizes, "key").select("key", "node", "root", "n"), f"split{depth}", folder)
-    return out
+def _met_prefixes(open_: DataFrame, sets: DataFrame, folder: str, how: NearDup) -> DataFrame:
+    """node, n (set size), h: the prefix shingles of the given nodes that another component of (node, root) has too.
 
+    Under any one order of all shingles, two sets that are similar enough share one of the first
+    ``n - ceil(n * percent / 100) + 1`` of each. Shingles that many of these nodes hold come last in the
+    order, so what a frequent passage adds to documents that are otherwise different pairs nothing.
+    """
+    members = sets.join(open_, "node").select("node", "root", "hashes")
+    seen = members.where(F.pmod("node", F.lit(16)) == 0).select(F.explode("hashes").alias("h")).groupBy("h").count().where("count >= 3")
+    seen = seen.orderBy(F.desc("count"), "h").limit(how.frequent)  # the bound touches the order alone, not what is found
+    got = np.array([(r["h"], r["count"]) for r in seen.collect()], np.int64).reshape(-1, 2)
+    shipped = sets.sparkSession.sparkContext.broadcast(got[np.argsort(got[:, 0])])
+    percent = how.percent
 
-def _pairs(members: DataFrame) -> DataFrame:
-    other = members.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    return members.join(other, "key").where("node < b AND root <> rb").select(F.col("node").alias("a"), "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = shipped.value.T
+        for batch in batches:
+            nodes, roots = (batch.column(c).to_numpy() for c in (0, 1))
+            offsets, values = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            firsts, sizes = [], []
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                own = values[a:b]
+                at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+                often = np.where(known[at] == own, count[at], 0) if len(known) else np.zeros(len(own), np.int64)
+                n = len(own)
+                firsts.append(own[np.lexsort((own, often))[: n - -(-n * percent // 100) + 1]])
+                sizes.append(n)
+            reach = [len(f) for f in firsts]
+            yield pa.record_batch([pa.array(np.repeat(nodes, reach)), pa.array(np.repeat(roots, reach)), pa.array(np.repeat(np.array(sizes, np.int64), reach)), pa.array(np.concatenate(firsts))], ["node", "root", "n", "h"])
+
+    prefix = keep(members.mapInArrow(run, "node long, root long, n long, h long"), "prefix", folder)
+    spread = prefix.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h")
+    return keep(prefix.join(spread, "h").select("node", "n", "h"), "met", folder)
+
+
+def _linked_by_prefix(open_: DataFrame, sets: DataFrame, links: DataFrame, roots: DataFrame, folder: str, how: NearDup) -> tuple[DataFrame, DataFrame]:
+    """links and roots, completed by what the nodes of different components that share prefix shingles have in common.
+
+    In a round every shingle picks one of its nodes as its centre, another one for each shingle, and its other
+    nodes of other components are held against it. The centre then leaves the shingle's group, for all
+    its pairs there are decided, and the links found contract the graph. What ``rounds`` rounds leave is paired in full.
+    """
+    left = _met_prefixes(open_, sets, folder, how)
+    for turn in range(how.rounds + 1):
+        now = left.join(roots, "node", "left").select("node", "n", "h", F.coalesce("root", "node").alias("root"))
+        spread = now.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct(F.xxhash64("node", "h", F.lit(turn)).alias("k"), "node", "n", "root")).alias("c")).where("r0 < r1")
+        spread = spread.select("h", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.root").alias("ra"))
+        if turn == how.rounds:
+            other = now.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+            met = now.join(spread.select("h"), "h", "left_semi").join(other, "h").where("a < node")
+        else:
+            met = left = keep(now.join(spread, "h").where("node <> a"), f"left{turn}", folder)
+            left = left.select("node", "n", "h")
+        near = F.least("na", "n") * 100 >= F.greatest("na", "n") * how.percent
+        pairs = met.where("root <> ra").where(near).select("a", F.col("node").alias("b")).distinct()
+        if met.isEmpty():
+            break
+        links = keep(links.union(verified(pairs, sets, how.percent)), f"prefix-links{turn}", folder)
+        roots = components(links, folder, f"p{turn}", how.union_find_links)
+    return links, roots
 
 
 def near_dup_query(spark, sf_dir: str) -> DataFrame:
