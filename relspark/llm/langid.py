@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._text import LOWER, chunks
 from .toxicity import remainder
 
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 4_000
 _ORDERS = (1, 2, 3, 4)
 _MARKS = bytes(range(0x41)) + b"[\\]^_`{|}~\x7f"
 TABLE = LOWER.translate(bytes.maketrans(_MARKS, b" " * len(_MARKS)))
@@ -59,8 +59,8 @@ def vector(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
             slots = code
         slots = (slots * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
         total += np.bincount(slots.astype(np.int64), minlength=1 << bits)
-    index = np.flatnonzero(total)
-    return index, total[index]
+    index = np.flatnonzero(total).astype(np.int32)
+    return index, total[index].astype(np.int32)
 
 
 def has_letter(text: bytes | None) -> bool:
