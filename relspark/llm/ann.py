@@ -123,17 +123,22 @@ def _nearest(index: DataFrame, queries: DataFrame, top: int, block: int) -> Data
             for k in range(batch.num_rows):
                 dim = batch.column(0)[k].as_py()
                 (ids, v), (asked, w) = (_rows(batch.column(c)[k].values, dim) for c in (1, 2))
+                by_id = np.argsort(ids, kind="stable")
+                ids, v = ids[by_id], v[by_id]
+                starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))  # where each id's rows begin
                 scores = w @ v.T
                 for j, q in enumerate(asked.tolist()):
                     row = np.where(ids == q, -np.inf, scores[j])
-                    if len(row) > top:
-                        cut = np.partition(row, len(row) - top)[len(row) - top]
+                    if len(starts) > top:
+                        peaks = row if len(starts) == len(row) else np.maximum.reduceat(row, starts)
+                        cut = np.partition(peaks, len(peaks) - top)[len(peaks) - top]
                         chosen = np.flatnonzero(row >= cut - 1e-9 * (1 + abs(cut)))
                     else:
                         chosen = np.arange(len(row))
                     chosen = chosen[ids[chosen] != q]
                     exact = (v[chosen] * w[j]).sum(axis=1)
-                    order = np.lexsort((ids[chosen], -exact))[: 2 * top]
+                    order = np.lexsort((ids[chosen], -exact))
+                    order = order[np.sort(np.unique(ids[chosen][order], return_index=True)[1])][:top]  # each id's best row
                     own = best.setdefault(q, {})
                     for i, s in zip(ids[chosen][order].tolist(), exact[order].tolist(), strict=True):
                         own[i] = max(s, own.get(i, -np.inf))
@@ -161,7 +166,7 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vect
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), is_query.alias("asks")).where("id IS NOT NULL AND size(v) > 0")
     usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.where(usable).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    rows = rows.where(usable).groupBy("id", "v").agg(F.max("asks").alias("asks")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
     rows = keep(rows, "vectors", folder)
     norms = {r["dim"]: (r["low"], r["high"]) for r in rows.groupBy(F.size("v").alias("dim")).agg(F.min("norm").alias("low"), F.max("norm").alias("high")).collect()}  # one row for each vector length
     asks = rows.where("asks")

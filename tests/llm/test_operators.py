@@ -207,6 +207,18 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_neighbours_of_repeated_ids(spark):
+    """Ids that repeat more than 2 * top times, with one vector or many, hide no other id."""
+    frame = lambda rows: spark.createDataFrame([(i, [x, 0.0, 0.0, 0.0]) for i, x in rows], "vec_id long, embedding array<double>")
+    step = 2.0**-26  # so small that all vectors share every bucket
+    same = frame([(i, 1 + i * step) for i in (0, 1, 2, 3) for _ in range(30)])
+    got = ann.search(same, F.col("vec_id") == 0, top=5).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 1 + i * step) for i in (3, 2, 1)]
+    many = frame([(0, 1.0), *((1, 1 + (1 + k) * step) for k in range(50)), *((i, 1 - i * step) for i in range(2, 9))])
+    got = ann.search(many, F.col("vec_id") == 0, top=5).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 1 + 50 * step), *((i, 1 - i * step) for i in range(2, 6))]
+
+
 def test_language_id(spark, messy):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     model = langid.fit(docs.where(toxicity.remainder("doc_id", 3) != 1))
