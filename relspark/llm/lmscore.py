@@ -147,23 +147,59 @@ class Lattice:
                 out[r] = self._long(b" " + word, log, one)
         return out
 
-    def _long(self, word: bytes, log: np.ndarray, one: np.ndarray) -> float:
-        a = [0.0]
-        for end in range(1, len(word) + 1):
-            terms = [a[end - 1] + one[word[end - 1]]]
-            for m in range(2, min(end, self.longest) + 1):
-                i = self.ids.get(word[end - m : end])
-                if i is not None:
-                    terms.append(a[end - m] + log[i])
+    def _edges(self, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and numbers of the pieces of two bytes and more in one word, by start and end."""
+        prefix, h = np.zeros(len(word) + 1, _U), 0
+        for i, b in enumerate(word):
+            h = (h * _BASE + b + 1) & 0xFFFFFFFFFFFFFFFF
+            prefix[i + 1] = h
+        starts, ends, found = [], [], []
+        for m in range(2, min(len(word), self.longest) + 1):
+            if m <= _LONG + 1:
+                ids = self._find(prefix[m:] - prefix[:-m] * self.power[m])
+            else:
+                ids = np.array([self.ids.get(word[i : i + m], -1) for i in range(len(word) - m + 1)])
+            at = np.flatnonzero(ids >= 0)
+            starts.append(at), ends.append(at + m), found.append(ids[at])
+        starts, ends, found = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (starts, ends, found))
+        order = np.lexsort((ends, starts))
+        return starts[order], ends[order], found[order]
+
+    @staticmethod
+    def _sums(single: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> list[float]:
+        """Logs of the sums over all paths from 0 to each position, of single bytes and of edges sorted by end."""
+        a, k = [0.0], 0
+        starts, ends, weights = starts.tolist(), ends.tolist(), weights.tolist()
+        for end, x in enumerate(single.tolist(), 1):
+            terms = [a[-1] + x]
+            while k < len(ends) and ends[k] == end:
+                terms.append(a[starts[k]] + weights[k])
+                k += 1
             top = max(terms)
-            a.append(top + math.log(sum(math.exp(t - top) for t in terms)))
-        return a[-1]
+            a.append(top + math.log(sum(math.exp(t - top) for t in terms)) if len(terms) > 1 else top)
+        return a
+
+    def _long(self, word: bytes, log: np.ndarray, one: np.ndarray) -> float:
+        starts, ends, ids = self._edges(word)
+        order = np.argsort(ends, kind="stable")
+        return self._sums(one[np.frombuffer(word, np.uint8)], starts[order], ends[order], log[ids[order]])[-1]
+
+    def _long_expected(self, word: bytes, log: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of one word, in log space: each byte value's expected number as a single; pieces and their expected numbers."""
+        starts, ends, ids = self._edges(word)
+        raw, n = np.frombuffer(word, np.uint8), len(word)
+        order = np.argsort(ends, kind="stable")
+        a = np.array(self._sums(one[raw], starts[order], ends[order], log[ids[order]]))
+        back = np.lexsort((-ends, -starts))  # the same sums over the word read backwards
+        b = np.array(self._sums(one[raw[::-1]], n - ends[back], n - starts[back], log[ids[back]]))[::-1]
+        used = np.bincount(raw, np.exp(a[:-1] + one[raw] + b[1:] - a[-1]), 256)
+        return used, ids, np.exp(a[starts] + log[ids] + b[ends] - a[-1])
 
     def expected(self, words: list[bytes], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected number of each piece in all segmentations of the words, each taken ``counts`` times.
 
         Sums are scaled by a power of two for each byte. The few words of 64 bytes and more, and any
-        that underflow, count as their bytes.
+        that underflow, are summed in log space.
         """
         out = np.zeros(self.size)
         scale = 8.0
@@ -172,7 +208,7 @@ class Lattice:
         one = (p[self.byte] + whole) * scale
         share = whole / (p[self.byte] + whole)
         used = np.zeros(256)
-        spelled = [r for r, w in enumerate(words) if len(w) >= _LONG]
+        apart = [r for r, w in enumerate(words) if len(w) >= _LONG]
         for rows, raw, found in self._groups(words):
             n = len(raw)
             step = {m: padded[ids] * scale**m for m, ids in found.items()}
@@ -188,13 +224,18 @@ class Lattice:
                     b[start] += step[m][start] * b[start + m]
             good = np.isfinite(a[n]) & (a[n] > 1e-280)
             times = np.where(good, counts[rows] / np.where(good, a[n], 1.0), 0.0)
-            spelled += rows[~good].tolist()
+            apart += rows[~good].tolist()
             used += np.bincount(raw.reshape(-1), (a[:-1] * one[raw] * b[1:] * times).reshape(-1), 256)
             for m, ids in found.items():
                 live = ids >= 0
                 out += np.bincount(ids[live], (a[:-m] * step[m] * b[m:] * times)[live], self.size)
-        for r in spelled:
-            used += np.bincount(np.frombuffer(b" " + words[r], np.uint8), minlength=256) * counts[r]
+        if apart:
+            with np.errstate(divide="ignore"):
+                log, log_one = np.log(p), np.log(p[self.byte] + whole)
+        for r in apart:
+            singles, ids, n = self._long_expected(b" " + words[r], log, log_one)
+            used += singles * counts[r]
+            out += np.bincount(ids, n * counts[r], self.size)
         np.add.at(out, self.byte, used * (1 - share))
         has = self.single >= 0
         np.add.at(out, self.single[has], (used * share)[has])

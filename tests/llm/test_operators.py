@@ -150,6 +150,21 @@ def test_lattice_sums_all_segmentations():
     assert 5 <= counts.sum() <= 5 + 3 * 3 + 2
 
 
+def test_long_words_teach_pieces():
+    """Expected counts are the slopes of the log-probability, for words of any length."""
+    lat = lmscore.Lattice(lmscore.vocabulary_file())
+    many = list(lat.ids.values())
+    some = [lat.ids[x] for x in (b"the", b"he", b"th", b"ing", b" the", b"t")]
+    for word in (b"thing", b"the" * 21, b"thething" * 8, b"thething" * 200, "中文没有空格".encode() * 20):
+        got = lat.expected([word], np.array([2]), lat.prior)
+        for i in [*some, int(np.argmax(np.where(np.isin(np.arange(lat.size), many), got, 0)))]:
+            up, down = lat.prior.copy(), lat.prior.copy()
+            up[i], down[i] = up[i] * 1.0001, down[i] / 1.0001
+            slope = (lat.log_probability([word], up) - lat.log_probability([word], down))[0] / (2 * math.log(1.0001))
+            assert np.isclose(got[i], 2 * slope, rtol=1e-4, atol=1e-6)
+    assert np.allclose(lat.expected([b"the" * 30, b"a"], np.array([1, 3]), lat.prior), lat.expected([b"the" * 30], np.array([1]), lat.prior) + lat.expected([b"a"], np.array([3]), lat.prior))
+
+
 def test_packing(spark, messy):
     from tokenizers import Tokenizer
 
