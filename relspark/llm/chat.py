@@ -20,6 +20,9 @@ Defined results: a null conversation id is a conversation of its own; a null tur
 null or empty text is an empty prompt; of calls that repeat an id the first by (turn, index) counts
 and n_calls says how many there are; of several results likewise. A result without a call has the
 status ``orphan``, a call without a result ``unanswered``. Text that isn't valid JSON is plain text.
+What can be neither gets a row of its own with the status ``unlinked``, no call id, and its content as
+the result: a message whose role is null or none of the four, a tool's message without a
+``tool_call_id``, and an entry of ``tool_calls`` that isn't an object.
 """
 
 from __future__ import annotations
@@ -73,8 +76,8 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
     return found
 
 
-def _parsed(role: str | None, text: str) -> tuple[list[dict], dict | None]:
-    """The calls and the result that a message holds, if its text is such JSON."""
+def _parsed(role: str | None, text: str) -> tuple[list, dict | None]:
+    """The entries of ``tool_calls`` and the result that a message holds, if its text is such JSON."""
     if role in ("assistant", "tool") and text.lstrip()[:1] == "{":
         try:
             value = json.loads(text)
@@ -82,14 +85,14 @@ def _parsed(role: str | None, text: str) -> tuple[list[dict], dict | None]:
             return [], None
         calls = value.get("tool_calls")
         if role == "assistant" and isinstance(calls, list):
-            return [c for c in calls if isinstance(c, dict)], None
+            return calls, None
         if role == "tool" and "tool_call_id" in value:
             return [], value
     return [], None
 
 
 def events(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", plain: bool = True) -> DataFrame:
-    """One row for each call (is_call) and each result of the messages."""
+    """One row for each call (is_call), each result (not is_call) and all that is neither (is_call is null) of the messages."""
     rows = messages.select(F.col(conv_col).cast("long").alias("conv"), F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)).alias("turn"), F.col(role_col).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     schema = pa.schema([("conv", pa.int64()), ("turn", pa.int64()), ("idx", pa.int32()), ("is_call", pa.bool_()), ("call_id", pa.string()), ("name", pa.string()), ("body", pa.string()), ("depends", pa.list_(pa.string()))])
 
@@ -100,11 +103,16 @@ def events(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "t
                 conv, turn, role, text = r["conv"], r["turn"], r["role"], r["text"]
                 calls, result = _parsed(role, text)
                 for i, c in enumerate(calls):
+                    if not isinstance(c, dict):
+                        out.append((conv, turn, i, None, None, None, canonical(c), []))
+                        continue
                     wants = c.get("depends")
                     out.append((conv, turn, i, True, str(c.get("id")), str(c.get("name")), canonical(c.get("arguments")), [str(x) for x in wants] if isinstance(wants, list) else []))
                 if result is not None:
                     out.append((conv, turn, 0, False, str(result["tool_call_id"]), None, canonical(result.get("content")), []))
-                elif not calls and plain:
+                elif role not in ("user", "system", "assistant"):
+                    out.append((conv, turn, 0, None, None, None, canonical(text), []))
+                elif plain and not any(isinstance(c, dict) for c in calls):
                     if role in ("user", "system"):
                         out.append((conv, turn, 0, True, f"turn-{turn}", "reply" if role == "user" else "instruct", canonical({"prompt": text}), [f"turn-{turn - 2}"] if role == "user" and turn >= 2 else []))
                     elif role == "assistant":
@@ -146,7 +154,7 @@ def _ordered(calls: DataFrame, folder: str) -> DataFrame:
 
 
 def link_tool_calls(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS, **columns) -> DataFrame:
-    """One row for each call id and each orphan result id of each conversation."""
+    """One row for each call id and each orphan result id of each conversation, and for all that is unlinked."""
     folder = shared_dir(messages.sparkSession)
     found = keep(events(messages, **columns), "events", folder)
     keys = ["conv", "call_id"]
@@ -174,6 +182,9 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS, **c
         F.col("body").alias("arguments"),
         "result",
     )
+    nothing, no = F.lit(None).cast("string"), F.lit(0).cast("long")
+    loose = found.where("is_call IS NULL").select(F.col("conv").alias("conv_id"), "call_id", "name", F.lit("unlinked").alias("status"), no.alias("n_calls"), no.alias("n_results"), F.col("turn").alias("result_turn"), F.col("turn").alias("order_turn"), F.col("idx").alias("order_index"), F.lit(0).alias("order_depth"), F.lit(False).alias("cyclic"), nothing.alias("arguments"), F.col("body").alias("result"))
+    rows = rows.unionByName(loose)
     made = rows.drop("arguments", "result")
     schema = made.select("*", F.lit(False).alias("valid"), F.lit(None).cast("string").alias("error"), F.lit("").alias("json")).schema
 

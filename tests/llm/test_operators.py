@@ -267,6 +267,17 @@ def test_chat(spark):
     assert chat.link_tool_calls(empty).count() == 0
 
 
+def test_chat_keeps_what_it_cannot_link(spark):
+    rows = [(1, 0, None, "no role"), (1, 1, "critic", None), (1, 2, "tool", "{broken"), (1, 3, "tool", '{"content": 1}'), (1, 4, "assistant", '{"tool_calls": [7, {"id": "a", "name": "reply", "arguments": {"prompt": "x"}}, "y"]}'), (None, None, None, None), (2, 0, "tool", "twice"), (2, 0, "tool", "twice")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for plain in (True, False):
+        got = chat.link_tool_calls(df, plain=plain).collect()
+        loose = sorted((r["conv_id"] or 0, r["order_turn"], r["order_index"], json.loads(r["json"])["result"]) for r in got if r["status"] == "unlinked")
+        assert loose == [(0, -1, 0, ""), (1, 0, 0, "no role"), (1, 1, 0, ""), (1, 2, 0, "{broken"), (1, 3, 0, '{"content": 1}'), (1, 4, 0, 7), (1, 4, 2, "y"), (2, 0, 0, "twice"), (2, 0, 0, "twice")]
+        assert [(r["call_id"], r["status"], r["valid"]) for r in got if r["status"] != "unlinked"] == [("a", "unanswered", True)]
+        assert not any(r["valid"] or r["call_id"] or r["n_calls"] or r["n_results"] for r in got if r["status"] == "unlinked")
+
+
 def test_schema_problems():
     s = {"type": "object", "properties": {"n": {"type": "integer", "minimum": 1}, "l": {"type": "array", "items": {"type": "string", "enum": ["a"]}}}, "required": ["n"]}
     assert chat.problems({"n": 1, "l": ["a"], "x": 0}, s) == []
