@@ -102,9 +102,16 @@ def decontam_query(spark, sf_dir: str) -> DataFrame:
 
 
 def decontam_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that contain no benchmark item; rows without an id stay."""
-    found = contaminated(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The documents that contain no benchmark item; rows without an id are searched under a digest of their text."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contaminated(docs.select("doc_id", "text"), items)
+    clean = docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    unnamed = docs.where("doc_id IS NULL AND text IS NOT NULL").select(digest.alias("digest"), "text")
+    if unnamed.isEmpty():
+        return clean
+    leaks = contaminated(unnamed.dropDuplicates(["digest"]), items, id_col="digest").select(F.col("digest").alias("leak")).distinct()
+    return clean.join(leaks, F.when(F.col("doc_id").isNull(), digest) == F.col("leak"), "left_anti").select(docs.columns)
 
 
 DECONTAM_SQL = r"""

@@ -299,6 +299,17 @@ def test_decontamination(spark, messy):
     assert decontam.contaminated(messy, items.limit(0)).count() == 0 and decontam.contaminated(messy.limit(0), items).count() == 0
 
 
+def test_decontamination_stage_without_ids(spark, tmp_path):
+    """Rows without an id are judged by their text; a column named digest isn't touched."""
+    leak = BASE + "only here"
+    spark.createDataFrame([(1, BASE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, leak), (2, "clean text with some more words"), (None, leak), (None, leak), (None, "clean text with some more words"), (None, None), (None, "")], "doc_id long, text string").withColumn("digest", F.lit("own"))
+    left = decontam.decontam_stage(spark, docs, str(tmp_path))
+    clean = "clean text with some more words"
+    assert left.columns == docs.columns
+    assert collections.Counter(map(tuple, left.collect())) == collections.Counter([(2, clean, "own"), (None, clean, "own"), (None, None, "own"), (None, "", "own")])
+
+
 def test_sketch_recall(spark):
     """With the density that the search picks, long documents keep a shingle of every contained item."""
     rng = np.random.default_rng(2)
