@@ -9,7 +9,9 @@ margin) the text is rejected: the pipeline's stage drops it, the query still nam
 
 Only letters count: A-Z become a-z, and digits, ASCII punctuation and white space become word
 ends. Defined results: a null text, an empty text and a text without a letter get ``und`` and
-score 0.0; without any training row every text is ``und``. Input rows come back one for one.
+score 0.0; without any training row every text is ``und``. Input rows come back one for one. Every
+language that has a text is learned, be there more of them than ``sample_rows``; each then has one text. Many
+centroids are held sparsely.
 """
 
 from __future__ import annotations
@@ -21,26 +23,53 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._text import LOWER, chunks
 from .toxicity import remainder
 
 SAMPLE_ROWS = 4_000
+DENSE = 1_600  # centroids
 _ORDERS = (1, 2, 3, 4)
 _MARKS = bytes(range(0x41)) + b"[\\]^_`{|}~\x7f"
 TABLE = LOWER.translate(bytes.maketrans(_MARKS, b" " * len(_MARKS)))
 _LETTER = regex.compile(r"\p{L}")
 
 
+@dataclass(frozen=True)
+class Sparse:
+    """A coordinate x centroid matrix of mostly zeros, row after row."""
+
+    starts: np.ndarray  # of each coordinate, one more at the end
+    columns: np.ndarray
+    values: np.ndarray
+    width: int
+
+    @staticmethod
+    def of(columns: list[tuple[np.ndarray, np.ndarray]], height: int) -> Sparse:
+        rows = np.concatenate([c[0] for c in columns])
+        order = np.argsort(rows, kind="stable")
+        number = np.repeat(np.arange(len(columns), dtype=np.int32), [len(c[0]) for c in columns])
+        return Sparse(np.searchsorted(rows[order], np.arange(height + 1)), number[order], np.concatenate([c[1] for c in columns])[order], len(columns))
+
+    def dot(self, index: np.ndarray, w: np.ndarray) -> np.ndarray:
+        reach = self.starts[index + 1] - self.starts[index]
+        at = np.arange(reach.sum()) + np.repeat(self.starts[index] - (np.cumsum(reach) - reach), reach)
+        return np.bincount(self.columns[at], self.values[at] * np.repeat(w, reach), self.width)
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     bits: int
     idf: np.ndarray  # of every coordinate
-    centroids: np.ndarray  # coordinate x centroid, unit columns
+    centroids: np.ndarray | Sparse  # coordinate x centroid, unit columns
     language: list[str]  # of each centroid
     floor: dict[str, float]
 
+    def cosines(self, index: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return self.centroids.dot(index, w) if isinstance(self.centroids, Sparse) else w @ self.centroids[index]
+
 
 def vector(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and counts of one text's n-grams."""
@@ -75,8 +104,12 @@ def train(rows: list[tuple[bytes, str]], *, bits: int = 16, per_language: int =
     idf = np.log((1 + len(vectors)) / (1 + seen)) + 1
     draw = np.random.default_rng(11)
     columns, names, floor = [], [], {}
-    for lang in sorted({v[2] for v in vectors}):
-        own = [(i, _unit(i, n, idf)) for i, n, x in vectors if x == lang]
+    by_language: dict[str, list] = {}
+    for i, n, lang in vectors:
+        by_language.setdefault(lang, []).append((i, n))
+    dense = sum(min(per_language, len(x)) for x in by_language.values()) <= DENSE
+    for lang in sorted(by_language):
+        own = [(i, _unit(i, n, idf)) for i, n in by_language[lang]]
         k = min(per_language, len(own))
         centres = np.zeros((1 << bits, k), np.float32)
         for j, at in enumerate(draw.permutation(len(own))[:k]):
@@ -87,10 +120,11 @@ def train(rows: list[tuple[bytes, str]], *, bits: int = 16, per_language: int =
                 sums[index, int(np.argmax(w @ centres[index]))] += w
             norm = np.linalg.norm(sums, axis=0)
             centres = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centres).astype(np.float32)
-        columns.append(centres)
+        columns += [centres] if dense else [(at := np.flatnonzero(c), c[at]) for c in centres.T]
         names += [lang] * k
         floor[lang] = float(np.quantile([(w @ centres[i]).max() for i, w in own], quantile)) - margin
-    return LanguageModel(bits, idf.astype(np.float32), np.concatenate(columns, axis=1) if columns else np.zeros((1 << bits, 0), np.float32), names, floor)
+    none = np.zeros((1 << bits, 0), np.float32)
+    return LanguageModel(bits, idf.astype(np.float32), np.concatenate([none, *columns], axis=1) if dense else Sparse.of(columns, 1 << bits), names, floor)
 
 
 def _unit(index: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -98,28 +132,25 @@ def _unit(index: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (w / np.linalg.norm(w)).astype(np.float32)
 
 
-def fit(documents: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, max_languages: int = 400, **how) -> LanguageModel:
-    """Train on at most ``sample_rows`` texts, the same number of each language as far as there are any.
+def fit(documents: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, **how) -> LanguageModel:
+    """Train on at most ``sample_rows`` texts, the same number of each language as far as there are any, and one at least.
 
     The rows are those with the smallest hash of their id and text within each language. A
     threshold on that hash, not a sort of the corpus, picks them before any text reaches the driver.
     """
     known = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
+    counts = known.groupBy("lang").count()
+    languages = counts.count()
+    if not languages:
         return train([])
-    share = max(1, sample_rows // len(counts))
+    share = max(1, sample_rows // languages)
     # a threshold on a uniform hash passes about twice the rows wanted
-    condition = None
-    for r in counts:
-        c = (F.col("lang") == r["lang"]) & (F.pmod("h", F.lit(1 << 30)) < int(min(1.0, 2.0 * share / r["count"] + 50 / r["count"]) * (1 << 30)))
-        condition = c if condition is None else condition | c
-    chosen = known.where(condition)
+    bound = F.least(F.lit(1.0), (2.0 * share + 50) / F.col("count")) * (1 << 30)
+    chosen = known.join(F.broadcast(counts.select("lang", bound.cast("long").alias("bound"))), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("bound"))
+    chosen = chosen.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= share)
     rows: dict[str, list] = {}
-    for r in sorted(chosen.collect(), key=lambda r: (r["h"], r["text"])):
-        own = rows.setdefault(r["lang"], [])
-        if len(own) < share:
-            own.append((r["text"].encode(), r["lang"]))
+    for r in sorted(chosen.select("lang", "text", "h").collect(), key=lambda r: (r["h"], r["text"])):
+        rows.setdefault(r["lang"], []).append((r["text"].encode(), r["lang"]))
     return train([x for lang in sorted(rows) for x in rows[lang]], **how)
 
 
@@ -138,7 +169,7 @@ def predict(documents: DataFrame, model: LanguageModel, *, text_col: str = "text
                     lang.append("und"), score.append(0.0), rejected.append(True)
                     continue
                 index, counts = vector(text, m.bits)
-                cosine = _unit(index, counts, m.idf) @ m.centroids[index]
+                cosine = m.cosines(index, _unit(index, counts, m.idf))
                 best = int(np.argmax(cosine))
                 lang.append(m.language[best]), score.append(min(1.0, max(0.0, float(cosine[best]))))
                 rejected.append(score[-1] < m.floor[lang[-1]])

@@ -244,6 +244,19 @@ def test_language_id(spark, messy):
     assert langid.predict(messy, langid.fit(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_id_learns_every_language(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rows = [(4 * k + j, " ".join(own), f"l{k:03}") for k in range(420) for own in [["".join(rng.choice(letters, 7)) for _ in range(12)]] for j in range(1 + (k < 400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for bound in (langid.DENSE, 100):
+        monkeypatch.setattr(langid, "DENSE", bound)
+        model = langid.fit(docs, bits=12)
+        assert isinstance(model.centroids, langid.Sparse) == (bound == 100) and len(set(model.language)) == 420
+        assert langid.predict(docs, model).where("lang <> lang_pred OR lang_score < 0.999").isEmpty()
+    assert len(set(langid.fit(docs, bits=12, sample_rows=10).language)) == 420
+
+
 def test_chat(spark):
     call = lambda *calls: json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a, "depends": d} for i, n, a, d in calls]})
     rows = [
