@@ -11,18 +11,20 @@ graph are the groups.
 2. *Classes.* Documents with equal sets (128-bit digest of the sorted hashes) become one node.
 3. *Banding.* ``bands`` bands of ``rows`` slots; with 40 bands of 5 a link at similarity exactly 0.75
    is missed with probability 2e-5, at 0.8 with 1e-7.
-4. *Candidates without all pairs.* Every node of a bucket is held against the bucket's smallest
-   node, then against its largest; links found so far contract the graph. Nodes that still share a
-   bucket with another component meet through a prefix filter, which is exact and skips what only a
-   frequent passage has in common; there too every shingle has one centre a round. A hot group thus
-   costs a few pairs for each of its members.
+4. *Candidates without all pairs.* Every node of a bucket is held against the bucket's most popular node:
+   the one that meets the most others in all its buckets. In a group of near copies that is the text
+   they were made of, or the one nearest to it, and it is the same in all the group's buckets, so one pair for
+   each member joins most of the group. Nodes that still share a bucket with another component meet
+   through a prefix filter, which is exact, skips what only a frequent passage has in common, and never
+   pairs members of one component.
 5. *Verification* on the full sets, 6. *union-find* over the verified links: each task contracts
    its share of the links to stars, until the rest fits one bounded task.
 
 Defined results: a null or empty text, or one without words, has an empty set, is linked with
 nothing and stays. Rows with a null id are grouped like others by their text but never name a
 component; a component without any id has a null component id, and rows without an id are kept. Repeated
-rows come back one for one. Further columns of the input are not touched or returned.
+rows come back one for one, and an id with several texts has a row and a component for each. Further columns
+of the input are not touched or returned.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import keep, remove, shared_dir
@@ -49,8 +51,6 @@ class NearDup:
     percent: int = 75
     bands: int = 40
     rows: int = 5
-    frequent: int = 200_000
-    rounds: int = 8
     union_find_links: int = 500_000
 
     @property
@@ -102,9 +102,13 @@ def _sign(sets: list[np.ndarray], sig: np.ndarray, slots: int) -> None:
             element, owner, walk = element[open_], owner[open_], walk[open_]
 
 
+def _version(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def _signed(docs: DataFrame, id_col: str, text_col: str, how: NearDup) -> DataFrame:
-    """id, n_shingles, node (64 bits of the set's digest), more (64 others), bands (a key for each band)."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """id, version, n_shingles, digest and more (128 bits that name the set), bands (a key for each band)."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _version(F.col(text_col)).alias("version"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,32 +119,45 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, how: NearDup) -> DataFr
             key = np.arange(1, how.bands + 1, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)
             for r in range(how.rows):
                 key = mix(key + sig[:, :, r])
-            halves = np.frombuffer(b"".join(map(_digest, sets)), "<i8").reshape(-1, 2)
+            digest, more = _digests(sets)
             offsets = pa.array(np.arange(0, (len(sets) + 1) * how.bands, how.bands, dtype=np.int32))
             yield pa.record_batch(
-                [batch.column(batch.schema.get_field_index("id")), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.ListArray.from_arrays(offsets, pa.array(key.reshape(-1).view(np.int64)))],
-                ["id", "n_shingles", "node", "more", "bands"],
+                [batch.column("id"), batch.column("version"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest), pa.array(more), pa.ListArray.from_arrays(offsets, pa.array(key.reshape(-1).view(np.int64)))],
+                ["id", "version", "n_shingles", "digest", "more", "bands"],
             )
 
-    return source.mapInArrow(run, f"id {kind}, n_shingles long, node long, more long, bands array<long>")
+    return source.mapInArrow(run, f"id {kind}, version long, n_shingles long, digest long, more long, bands array<long>")
 
 
-def _sets(texts: DataFrame, how: NearDup) -> DataFrame:
-    """node, hashes (the full sorted set) of rows of (node, text); a row whose text is not its node's is left out."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, how: NearDup) -> DataFrame:
+    """node, hashes (the full sorted set) of the given nodes, each from one text: that of its smallest id, or one without an id."""
+    texts = docs.select(F.col(id_col).alias("low"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch, texts in chunks(batches):
             sets = shingles(*word_hashes(texts, memo), how.width)
-            own = [int.from_bytes(_digest(s)[:8], "little", signed=True) for s in sets]
-            said = batch.column(batch.schema.get_field_index("node")).to_pylist()
-            right = [i for i, node in enumerate(said) if len(sets[i]) and (node is None or node == own[i])]
-            if right:
-                offsets = np.concatenate([[0], np.cumsum([len(sets[i]) for i in right])]).astype(np.int32)
-                hashes = np.concatenate([sets[i] for i in right]).view(np.int64)
-                yield pa.record_batch([pa.array([own[i] for i in right], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes))], ["node", "hashes"])
+            digest, more = _digests(sets)
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            hashes = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pa.record_batch([batch.column("node"), pa.array(digest), pa.array(more), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes))], ["node", "d", "m", "hashes"])
+
+    made = "node long, d long, m long, hashes array<long>"
+    own = (F.col("d") == F.col("digest")) & (F.col("m") == F.col("more"))
+    nodes = nodes.select("node", "digest", "more", "low")
+    named = texts.join(nodes.where("low IS NOT NULL").select("low", "node"), "low").select("node", "text").mapInArrow(run, made)
+    named = named.join(nodes.select(F.col("node").alias("n"), "digest", "more"), (F.col("node") == F.col("n")) & own)  # a repeated id may have other texts
+    found = named.select("node", "hashes")
+    nameless = nodes.where("low IS NULL").select(F.col("node").alias("n"), "digest", "more")
+    if not nameless.isEmpty():
+        unnamed = texts.where("low IS NULL").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(run, made)
+        found = found.union(unnamed.join(nameless, own).select(F.col("n").alias("node"), "hashes"))
+    return found.dropDuplicates(["node"])
 
-    return texts.mapInArrow(run, "node long, hashes array<long>")
+
+def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    halves = np.frombuffer(b"".join(map(_digest, sets)), "<i8").reshape(-1, 2)
+    return halves[:, 0], halves[:, 1]
 
 
 def _digest(hashes: np.ndarray) -> bytes:
@@ -151,10 +168,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    near = F.least(F.size("ha"), F.size("hb")) * 100 >= F.greatest(F.size("ha"), F.size("hb")) * percent
     shared = F.size(F.array_intersect("ha", "hb"))
     linked = shared * 100 >= (F.size("ha") + F.size("hb") - shared) * percent
-    return pairs.join(left, "a").join(right, "b").where(near).where(linked).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b")
 
 
 def components(links: DataFrame, folder: str, name: str, bound: int) -> DataFrame:
@@ -212,119 +228,88 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", how: NearDup = NearDup()) -> DataFrame:
     """One row per input row: the id, n_shingles, component_id (smallest id of its group), kept."""
+    rows = grouped(docs, id_col=id_col, text_col=text_col, how=how)
+    out = rows.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull() | F.col(id_col).isNull()))
+
+
+def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", how: NearDup = NearDup()) -> DataFrame:
+    """One row per input row: id, version (a hash of the text), n_shingles, group (null without words), component (its smallest id)."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
     signed = keep(_signed(docs, id_col, text_col, how), "signed", folder)
-    busy = signed.where("n_shingles > 0")
-    nodes = busy.groupBy("node", "more").agg(F.min("id").alias("low"), F.first("bands").alias("bands"))
-    nodes = keep(nodes.select("node", "low", "bands"), "nodes", folder)
-
-    # buckets of at least two nodes
-    entries = nodes.select("node", F.explode("bands").alias("key"))
-    spread = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    shared = keep(entries.join(spread, "key"), "buckets", folder)
-    busy_nodes = shared.select("node").distinct()
-    nodes = keep(nodes.select("node", "low"), "named", folder)
-    signed = keep(signed.select("id", "n_shingles", "node"), "counted", folder)
-    for name in ("nodes", "signed"):
-        remove(spark, f"{folder}/{name}")
-
-    # full sets of the nodes that share a bucket, from one text of each
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    owner = nodes.join(busy_nodes, "node", "left_semi").where("low IS NOT NULL").select("node", F.col("low").alias("id"))
-    named = _sets(texts.join(owner, "id").select("node", "text"), how)
-    unnamed = _sets(texts.where("id IS NULL").select(F.lit(None).cast("long").alias("node"), "text"), how)
-    unnamed = unnamed.join(nodes.where("low IS NULL"), "node", "left_semi").dropDuplicates(["node"])
-    sets = keep(named.union(unnamed), "sets", folder)
-
-    links = roots = None
-    for turn, centre in enumerate(("lo", "hi")):
-        pairs = shared.where(F.col("node") != F.col(centre)).select(F.col(centre).alias("a"), F.col("node").alias("b")).distinct()
-        if roots is not None:
-            ends = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-            pairs = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-        found = verified(pairs, sets, how.percent)
-        links = keep(found if links is None else links.union(found), f"links{turn}", folder)
-        roots = components(links, folder, f"c{turn}", how.union_find_links)
-
+    nodes = signed.where("n_shingles > 0").groupBy("digest", "more").agg(F.min("id").alias("low"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", folder)
+    signed = keep(signed.drop("bands"), "counted", folder)
+    remove(spark, f"{folder}/signed")
+
+    # buckets of at least two nodes, and the most popular node of each: the one with the most company in all its buckets
+    entries = nodes.select("node", "n", F.explode("bands").alias("key"))
+    crowds = entries.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    shared = keep(entries.join(crowds, "key"), "buckets", folder)
+    nodes = keep(nodes.drop("bands"), "named", folder)
+    remove(spark, f"{folder}/nodes")
+    popular = shared.groupBy("node").agg(F.sum("crowd").alias("pop"))
+    centres = shared.join(popular, "node").groupBy("key").agg(F.max(F.struct("pop", "node", "n")).alias("c"))
+    shared = keep(shared.join(centres, "key").select("key", "node", "n", F.col("c.node").alias("centre"), F.col("c.n").alias("size")).where("node <> centre"), "stars", folder)
+    remove(spark, f"{folder}/buckets")
+
+    busy = shared.select("node").union(shared.select("centre")).distinct()
+    sets = keep(_sets(docs, id_col, text_col, nodes.join(busy, "node", "left_semi"), how), "sets", folder)
+    pairs = shared.where(_sizes_fit("n", "size", how.percent)).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    links = keep(verified(pairs, sets, how.percent), "links", folder)
+    roots = components(links, folder, "c", how.union_find_links)
+
+    # pairs with a bucket's centre are decided; what is open are the other members that still are in different components
     rooted = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     parted = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
     open_ = keep(rooted.join(parted, "key").select("node", "root").distinct(), "open", folder)
     if not open_.isEmpty():
-        remove(spark, f"{folder}/buckets")
-        links, roots = _linked_by_prefix(open_, sets, links, roots, folder, how)
+        links = keep(links.union(verified(_prefix_pairs(open_, sets, folder, how), sets, how.percent)), "all-links", folder)
+        roots = components(links, folder, "d", how.union_find_links)
 
-    named = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    named = nodes.join(roots, "node", "left").select("digest", "more", "low", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("low").alias("component"))
-    multi = named.join(names, "root").where("component IS NOT NULL").select("node", "component")
-    out = signed.select("id", "n_shingles", "node").join(multi.withColumnRenamed("node", "n"), (F.col("node") == F.col("n")) & (F.col("n_shingles") > 0), "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
-    out = keep(out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")), "out", folder)
-    for name in ("counted", "named", "buckets", "sets", "prefix", "met"):
+    named = named.join(names, "root").select("digest", "more", F.col("root").alias("group"), "component")
+    wordless = signed.where("n_shingles = 0").select("id", "version", "n_shingles", F.lit(None).cast("long").alias("group"), F.col("id").alias("component"))
+    out = signed.where("n_shingles > 0").join(named, ["digest", "more"]).select(*wordless.columns).unionByName(wordless)
+    out = keep(out, "out", folder)
+    for name in ("counted", "named", "stars", "sets", "links", "open", "prefix", "all-links"):
         remove(spark, f"{folder}/{name}")
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull() | F.col(id_col).isNull()))
+    return out
 
 
-def _met_prefixes(open_: DataFrame, sets: DataFrame, folder: str, how: NearDup) -> DataFrame:
-    """node, n (set size), h: the prefix shingles of the given nodes that another component of (node, root) has too.
+def _sizes_fit(a: str, b: str, percent: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-    Under any one order of all shingles, two sets that are similar enough share one of the first
-    ``n - ceil(n * percent / 100) + 1`` of each. Shingles that many of these nodes hold come last in the
-    order, so what a frequent passage adds to documents that are otherwise different pairs nothing.
-    """
-    members = sets.join(open_, "node").select("node", "root", "hashes")
-    seen = members.where(F.pmod("node", F.lit(16)) == 0).select(F.explode("hashes").alias("h")).groupBy("h").count().where("count >= 3")
-    seen = seen.orderBy(F.desc("count"), "h").limit(how.frequent)  # the bound touches the order alone, not what is found
-    got = np.array([(r["h"], r["count"]) for r in seen.collect()], np.int64).reshape(-1, 2)
-    shipped = sets.sparkSession.sparkContext.broadcast(got[np.argsort(got[:, 0])])
-    percent = how.percent
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = shipped.value.T
-        for batch in batches:
-            nodes, roots = (batch.column(c).to_numpy() for c in (0, 1))
-            offsets, values = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
-            firsts, sizes = [], []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                own = values[a:b]
-                at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-                often = np.where(known[at] == own, count[at], 0) if len(known) else np.zeros(len(own), np.int64)
-                n = len(own)
-                firsts.append(own[np.lexsort((own, often))[: n - -(-n * percent // 100) + 1]])
-                sizes.append(n)
-            reach = [len(f) for f in firsts]
-            yield pa.record_batch([pa.array(np.repeat(nodes, reach)), pa.array(np.repeat(roots, reach)), pa.array(np.repeat(np.array(sizes, np.int64), reach)), pa.array(np.concatenate(firsts))], ["node", "root", "n", "h"])
-
-    prefix = keep(members.mapInArrow(run, "node long, root long, n long, h long"), "prefix", folder)
-    spread = prefix.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h")
-    return keep(prefix.join(spread, "h").select("node", "n", "h"), "met", folder)
-
-
-def _linked_by_prefix(open_: DataFrame, sets: DataFrame, links: DataFrame, roots: DataFrame, folder: str, how: NearDup) -> tuple[DataFrame, DataFrame]:
-    """links and roots, completed by what the nodes of different components that share prefix shingles have in common.
-
-    In a round every shingle picks one of its nodes as its centre, another one for each shingle, and its other
-    nodes of other components are held against it. The centre then leaves the shingle's group, for all
-    its pairs there are decided, and the links found contract the graph. What ``rounds`` rounds leave is paired in full.
+def _prefix_pairs(open_: DataFrame, sets: DataFrame, folder: str, how: NearDup) -> DataFrame:
+    """All pairs (a, b) of the open nodes (node, root) that could be linked, but for those of one component.
+
+    Under any one order of all shingles, two sets that are similar enough share a shingle among the first
+    ``n - ceil(n * percent / 100) + 1`` of each. The rarest come first, so what a frequent passage adds to
+    documents that are otherwise different pairs nothing. The places of the first shared shingle also bound
+    what can be shared behind it, which leaves out most pairs before they become rows. In the list
+    of a shingle, members of its largest component are held against the others, never against each other.
     """
-    left = _met_prefixes(open_, sets, folder, how)
-    for turn in range(how.rounds + 1):
-        now = left.join(roots, "node", "left").select("node", "n", "h", F.coalesce("root", "node").alias("root"))
-        spread = now.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct(F.xxhash64("node", "h", F.lit(turn)).alias("k"), "node", "n", "root")).alias("c")).where("r0 < r1")
-        spread = spread.select("h", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.root").alias("ra"))
-        if turn == how.rounds:
-            other = now.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-            met = now.join(spread.select("h"), "h", "left_semi").join(other, "h").where("a < node")
-        else:
-            met = left = keep(now.join(spread, "h").where("node <> a"), f"left{turn}", folder)
-            left = left.select("node", "n", "h")
-        near = F.least("na", "n") * 100 >= F.greatest("na", "n") * how.percent
-        pairs = met.where("root <> ra").where(near).select("a", F.col("node").alias("b")).distinct()
-        if met.isEmpty():
-            break
-        links = keep(links.union(verified(pairs, sets, how.percent)), f"prefix-links{turn}", folder)
-        roots = components(links, folder, f"p{turn}", how.union_find_links)
-    return links, roots
+    members = sets.join(open_, "node").select("node", "root", F.size("hashes").cast("long").alias("n"), "hashes")
+    members = keep(members, "members", folder)
+    every = members.select("node", F.explode("hashes").alias("h"))
+    often = every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    met = every.join(often, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("met"))  # one document's shingles at most
+    met = members.select("node", "root", "n").join(met, "node")
+    alone, reach = F.col("n") - F.size("met"), F.col("n") - F.ceil(F.col("n") * how.percent / 100) + 1
+    first = met.withColumn("alone", alone).withColumn("reach", reach.cast("long")).where("reach > alone")
+    first = first.select("node", "root", "n", "alone", F.posexplode(F.slice("met", F.lit(1), (F.col("reach") - F.col("alone")).cast("int"))).alias("p", "x"))
+    first = keep(first.select("node", "root", "n", (F.col("n") - F.col("alone") - F.col("p")).alias("rest"), F.col("x.h").alias("h")), "prefix", folder)  # rest: this shingle and all behind it
+    remove(first.sparkSession, f"{folder}/members")
+
+    largest = first.groupBy("h", "root").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
+    others = first.join(largest.select("h", F.col("m.root").alias("main")), "h").where("root <> main")
+    others = others.select("h", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("rest").alias("rest_a"))
+    possible = F.least("rest", "rest_a") * (100 + how.percent) >= (F.col("n") + F.col("na")) * how.percent
+    pairs = others.join(first, "h").where("root <> ra").where(_sizes_fit("n", "na", how.percent)).where(possible)
+    return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
 def near_dup_query(spark, sf_dir: str) -> DataFrame:
@@ -333,11 +318,27 @@ def near_dup_query(spark, sf_dir: str) -> DataFrame:
 
 
 def near_dup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id, once. Rows without an id all stay."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    alone = docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not repeated.isEmpty():
-        once = alone.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        alone = alone.join(repeated, "doc_id", "left_anti").unionByName(once)
-    return alone.select(docs.columns)
+    """One row of each group: of those with the smallest id the one whose text has the smallest hash.
+
+    Rows that repeat an id with texts of different groups are judged each by its own text. Rows without an
+    id, without a text or without words all stay; so do further columns, whatever their names.
+    """
+    found = grouped(docs.select("doc_id", "text")).where("id IS NOT NULL AND group IS NOT NULL")
+    stays = found.groupBy("group").agg(F.min(F.struct("id", "version")).alias("s"))
+    key = _free(docs, "_text_of_id")
+    pair = F.struct("id", "version").alias(key)
+    goes = found.join(stays, "group").where(F.struct("id", "version") != F.col("s")).select(pair).distinct()
+    twice = found.groupBy("id", "version").count().where("count > 1").select(pair)
+    own = F.struct(F.col("doc_id").alias("id"), _version(F.col("text")).alias("version"))
+    named = docs.where("doc_id IS NOT NULL").withColumn(key, own).join(goes, key, "left_anti")
+    if not twice.isEmpty():
+        named = named.join(twice, key, "left_anti").unionByName(named.join(twice, key, "left_semi").dropDuplicates([key]))
+    return named.drop(key).unionByName(docs.where("doc_id IS NULL")).select([F.col(f"`{c}`") for c in docs.columns])
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """``name``, or that with underscores in front, so that no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
