@@ -2,15 +2,15 @@
 
 1. *Tokens.* Ids of each text, then ``end_id``; only documents longer than ``capacity`` are cut, into
    pieces of that length and a rest. No token of the vocabulary spans white space, so the ids of a
-   text are those of its words one after the other, and a bounded memo of words saves most of the
-   tokenizer's work.
+   text are those of its parts (letters, single digits, other signs) one after the other, and a memo of
+   parts that is bounded in bytes saves most of the tokenizer's work.
 2. *Plan.* All that packing needs is how many pieces of each length there are: at most ``capacity``
    numbers. Bin by bin, the largest length left is taken and a bitset subset-sum over the other
    lengths finds the fullest feasible rest; that combination is repeated as often as the counts
    allow and removed. The driver's work depends on the number of distinct lengths, not of pieces.
 3. *Places.* A piece's rank among those of its length, counted per (length, salt) and offset by the
-   counts of the salts before, names its sequence and its offset there; no task holds all pieces of a
-   frequent length.
+   counts of the salts before, names its sequence and its offset there. Salts come from numbers that are
+   written with the pieces, so neither a frequent length nor a row repeated without end is one task's.
 
 Defined results: a null or empty text is one piece with ``end_id`` alone; repeated rows and rows with
 null ids are packed one by one like any other; an empty table gives no piece. Other columns of the
@@ -22,6 +22,7 @@ from __future__ import annotations
 import gc
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,71 +35,75 @@ from ._store import keep, shared_dir
 from ._text import chunks
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-_EASY = re.compile(f"[!-~{_LATIN}]+")
-# The vocabulary's own word pattern, for the characters of _EASY.
-_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^{_LATIN}0-9]+")
+_EASY = re.compile(f"[\\t-\\r !-~{_LATIN}]*")
+# Fixed value: the vocabulary's own word pattern, for the characters of _EASY.
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\\t-\\r {_LATIN}0-9]+")
 _SPECIAL = b"<|"
+# The letters that byte-level vocabularies write bytes with: printable Latin-1 as it is, the others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = dict(zip(_PRINTABLE, _PRINTABLE)) | dict(zip(sorted(set(range(256)) - set(_PRINTABLE)), range(256, 512)))
 
 
-class WordIds(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes, by the tokenizer in ``path``.
+class PartIds:
+    """Parts of texts -> their ids as little-endian unsigned 32-bit bytes, by the tokenizer in ``path``.
 
-    An easy word is cut into its parts here, and parts go to the tokenizer's model in runs without its
-    normalizer; the ids of a part end with the run's next word-end token. Other words go to the
-    tokenizer as they are.
+    A text of easy characters is cut into its parts here, and each part goes to the tokenizer's model; any
+    other word goes to the tokenizer as it is. What is known is kept in two generations of
+    ``most_bytes / 2`` each: when the younger is full it replaces the older, so a part that is met again in time stays.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-        self.whole, self.plain, self.most, self.parts = Tokenizer.from_file(path), Tokenizer.from_file(path), most, {}
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
-        for token, i in self.whole.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
+    def __init__(self, path: str, most_bytes: int = 64 << 20):
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model.tokenize
+        self.known, self.older, self.held, self.most = {}, {}, 0, most_bytes // 2
+
+    @staticmethod
+    def parts(text: bytes | None) -> list[str | bytes]:
+        """The parts of a text: lower-cased strings of easy words, other words as they are."""
+        if not text:
+            return []
+        if _SPECIAL not in text and _EASY.fullmatch(easy := text.decode("utf-8", "replace")):
+            return _PARTS.findall(easy.lower())
+        out = []
+        for w in text.split():
+            if _SPECIAL not in w and _EASY.fullmatch(easy := w.decode("utf-8", "replace")):
+                out += _PARTS.findall(easy.lower())
+            else:
+                out.append(w)
+        return out
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Add all words of the texts that are missing; without the cycle collector, which would scan the memo again and again."""
+    def learn(self, texts: list[list[str | bytes]]) -> None:
+        """Add all parts of the texts that are missing; without the cycle collector, which would scan them again and again."""
         gc.disable()
         try:
-            self._learn(texts)
+            if self.held > self.most:
+                self.known, self.older, self.held = {}, self.known, 0
+            missing = set().union(*texts).difference(self.known)
+            again = missing.intersection(self.older)
+            for x in again:
+                self._add(x, self.older[x])
+            hard = []
+            for x in missing.difference(again):
+                if type(x) is bytes:
+                    hard.append(x)
+                else:
+                    spelled = x if x.isascii() else x.encode().decode("latin-1").translate(_BYTES)
+                    self._add(x, array("I", [t.id for t in self.model(spelled)]).tobytes())
+            for i in range(0, len(hard), 512):
+                run = hard[i : i + 512]
+                for x, e in zip(run, self.whole.encode_batch_fast([x.decode("utf-8", "replace") for x in run], add_special_tokens=False), strict=True):
+                    self._add(x, array("I", e.ids).tobytes())
         finally:
             gc.enable()
 
-    def _learn(self, texts: list[list[bytes]]) -> None:
-        for known in (self, self.parts):
-            if len(known) > self.most:
-                known.clear()
-        missing = set().union(*texts).difference(self)
-        easy, cut, hard = [], [], []
-        for w in missing:
-            text = w.decode("utf-8", "replace")
-            if _SPECIAL not in w and _EASY.fullmatch(text):
-                easy.append(w)
-                cut.append(_PARTS.findall(text.lower()))
-            else:
-                hard.append((w, text))
-        new = list(set().union(*cut).difference(self.parts))
-        for i in range(0, len(new), 512):
-            run = new[i : i + 512]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, "<u4")
-            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            if len(stops) != len(run):
-                raise ValueError("a part doesn't end with a word-end token")
-            raw = ids.tobytes()
-            for part, a, b in zip(run, [0, *stops], stops, strict=False):
-                self.parts[part] = raw[a:b]
-        known = self.parts
-        for w, parts in zip(easy, cut, strict=True):
-            self[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[x] for x in parts])
-        for i in range(0, len(hard), 512):
-            part = hard[i : i + 512]
-            for (w, _), e in zip(part, self.whole.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-
-
-_memo: dict[str, WordIds] = {}  # lives as long as a Python worker
+    def _add(self, part: str | bytes, ids: bytes) -> None:
+        self.known[part] = ids
+        self.held += 190 + len(part) + len(ids)
+
+
+_memo: dict[str, PartIds] = {}  # of bounded size; lives as long as a Python worker
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
@@ -108,13 +113,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo.get(tokenizer_path) or _memo.setdefault(tokenizer_path, WordIds(tokenizer_path))
+        memo = _memo.get(tokenizer_path) or _memo.setdefault(tokenizer_path, PartIds(tokenizer_path))
         for batch, texts in chunks(batches):
-            words = [t.split() if t else [] for t in texts]
-            memo.learn(words)
+            parts = list(map(memo.parts, texts))
+            memo.learn(parts)
             owner, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, w in enumerate(words):
-                raw = b"".join(map(memo.__getitem__, w)) + end
+            for i, own in enumerate(parts):
+                raw = b"".join(map(memo.known.__getitem__, own)) + end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     owner.append(i), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
@@ -170,7 +175,8 @@ def _fullest(lengths: list[int], left: dict[int, int], room: int, taken: int) ->
 def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = True, salt_rows: int = 200_000) -> DataFrame:
     """``pieces`` with sequence_id and offset."""
     folder = shared_dir(docs.sparkSession)
-    cut = keep(pieces(docs, tokenizer_path, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, with_ids=with_ids), "pieces", folder)
+    cut = pieces(docs, tokenizer_path, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, with_ids=with_ids)
+    cut = keep(cut.withColumn("row", F.monotonically_increasing_id()), "pieces", folder)
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     salts = max(64, sum(counts.values()) // salt_rows)
 
@@ -184,10 +190,10 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
         number += times
     seats = np.array(sorted(seats), np.int64).reshape(-1, 5)
 
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
     before = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = before.select("length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")) - 1)
+    ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("row")) - 1)
     ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before")).drop("salt", "before")
 
     @F.pandas_udf("sequence_id long, offset long")

@@ -230,6 +230,20 @@ def test_bins_are_as_full_as_can_be():
     assert sorted(packing._fullest([9, 7, 5], {9: 1, 7: 1, 5: 2}, 17, 0)) == [5, 5, 7]
 
 
+def test_ids_are_the_tokenizers():
+    memo = packing.PartIds(packing.tokenizer_file(), most_bytes=4000)
+    rng = np.random.default_rng(3)
+    odd = ["don't WE'LL it's 'sir \"'tis", "Ünïcödé ßtraße ÆØÅ ÿ", "e\u0301cole ne\u0308", "İstanbul Ÿ ŸŸ", "a\u00a0b\u2028c\x85d", "<|endoftext|> a<|startoftext|>b", "<|", "12345 a1b2", "\x1c\x1f\x00", "日本語 テスト", "x" * 500, "×÷ª º µ", "_under_score__", "tab\tnew\nline\x0b\x0cx", "😀😀 ok"]
+    pool = [w for t in odd for w in t.split(" ")] + [chr(c) for c in range(33, 400)]
+    texts = odd + [" ".join(rng.choice(pool, 12)) for _ in range(300)]
+    for text in texts:
+        parts = [memo.parts(text.encode())]
+        memo.learn(parts)
+        got = np.frombuffer(b"".join(map(memo.known.__getitem__, parts[0])), "<u4").tolist()
+        assert got == memo.whole.encode(text, add_special_tokens=False).ids, text
+    assert memo.older and memo.parts(None) == memo.parts(b"") == []
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(400, 24)) * rng.uniform(0.5, 2, (400, 1))
