@@ -26,11 +26,19 @@ class WordHashes(dict):
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
-    def trim(self, most: int = 400_000) -> None:
+    def trim(self, most: int = 200_000) -> None:
         if len(self) > most:
             self.clear()
 
 
+def free_name(df, name: str) -> str:
+    """``name``, or that with underscores in front, so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def mix(z: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, over whole arrays."""
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

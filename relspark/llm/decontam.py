@@ -9,7 +9,8 @@ Which documents contain at least ``percent`` of a test item's 5-word shingles?
   very long documents.
 * The density comes from the items: with t shingles that a contaminated document must share, a
   survival chance s misses an item with probability (1 - s) ** t, and the coarsest density that keeps
-  this under ``miss`` for the smallest item is taken; items too small for any sketch use every shingle.
+  this under ``miss`` for the smallest item is taken. Items too small for any sketch are a class of
+  their own, which looks up every shingle, so that they make no other item dearer.
 * An item's shingles look up the sketches; any hit makes a candidate pair.
 * Candidates are verified on the full sets: exact shared shingles against the item's number.
 
@@ -24,11 +25,14 @@ the shingles of all of them. An empty table gives no row.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._store import keep, remove, shared_dir
+from ._text import free_name
 
 BROADCAST_SHINGLES = 1_000_000  # at most 24 bytes each
 BROADCAST_IDS = 1_000_000
@@ -74,14 +78,19 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     item = with_shingles(item, "h", "h").select("item", F.explode_outer("h").alias("h")).distinct()
     sized = item.groupBy("item").agg(F.count("*").alias("n_item"))
     item = keep(item.join(sized, "item"), "items", folder)
-    count, least = item.agg(F.count("*"), F.min("n_item")).first()
+    smallest = next(n for n in range(1, 1000) if density_for(-(-n * percent // 100), miss) is not None)
+    sketched = F.col("n_item") >= smallest
+    count, tiny, least = item.agg(F.count("*"), F.count_if(~sketched), F.min(F.when(sketched, F.col("n_item")))).first()
     sent = (lambda df: F.broadcast(df)) if count <= BROADCAST_SHINGLES else (lambda df: df)
-    density = density_for(-(-(least or 1) * percent // 100), miss)
+    looks = [(sketched, density_for(-(-least * percent // 100), miss))] if least else []
+    looks += [(~sketched, None)] if tiny else []
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = with_shingles(texts, "text", "s")
-    found = sets.select("id", F.explode_outer(sketch(F.col("s"), density)).alias("h")).join(sent(item), "h")
-    pairs = keep(found.select("id", "item").distinct(), "pairs", folder)
+    found = [sets.select("id", F.explode_outer(sketch(F.col("s"), d)).alias("h")).join(sent(item.where(which)), "h").select("id", "item") for which, d in looks]
+    if not found:
+        found = [spark.createDataFrame([], StructType([texts.schema["id"], item.schema["item"]]))]
+    pairs = keep(reduce(DataFrame.union, found).distinct(), "pairs", folder)
 
     ids = pairs.select("id").distinct()
     few = pairs.count() <= BROADCAST_IDS
@@ -102,16 +111,21 @@ def decontam_query(spark, sf_dir: str) -> DataFrame:
 
 
 def decontam_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that contain no benchmark item; rows without an id are searched under a digest of their text."""
+    """The documents that contain no benchmark item, with all their columns, whatever their names.
+
+    Rows without an id are searched under a digest of their text. Rows that repeat an id count as one
+    document: if any of them holds an item, or they do together, all go. Empty texts stay.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contaminated(docs.select("doc_id", "text"), items)
-    clean = docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    digest = F.sha2(F.col("text").cast("binary"), 256)
-    unnamed = docs.where("doc_id IS NULL AND text IS NOT NULL").select(digest.alias("digest"), "text")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    clean = docs.where("doc_id IS NOT NULL").join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(names)
+    key = free_name(docs, "_digest")
+    unnamed = docs.where("doc_id IS NULL").withColumn(key, F.sha2(F.col("text").cast("binary"), 256))
     if unnamed.isEmpty():
         return clean
-    leaks = contaminated(unnamed.dropDuplicates(["digest"]), items, id_col="digest").select(F.col("digest").alias("leak")).distinct()
-    return clean.join(leaks, F.when(F.col("doc_id").isNull(), digest) == F.col("leak"), "left_anti").select(docs.columns)
+    leaks = contaminated(unnamed.select(key, "text").dropDuplicates([key]), items, id_col=key).select(key).distinct()
+    return clean.unionByName(unnamed.join(leaks, key, "left_anti").select(names))
 
 
 DECONTAM_SQL = r"""

@@ -9,13 +9,15 @@ margin) the text is rejected: the pipeline's stage drops it, the query still nam
 
 Only letters count: A-Z become a-z, and digits, ASCII punctuation and white space become word
 ends. Defined results: a null text, an empty text and a text without a letter get ``und`` and
-score 0.0; without any training row every text is ``und``. Input rows come back one for one. Every
-language that has a text is learned, be there more of them than ``sample_rows``; each then has one text. Many
-centroids are held sparsely.
+score 0.0; without any training row every text is ``und``. Input rows come back one for one; of
+centroids that are equally near (to 1e-6) the first by language counts. Every language that has a text with a letter
+is learned, be there more of them than ``sample_rows``; each then has one text. Many centroids are held
+sparsely. The stage drops what is rejected, texts without a letter among it, and keeps all columns.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._text import LOWER, chunks
+from ._text import LOWER, chunks, free_name
 from .toxicity import remainder
 
 SAMPLE_ROWS = 4_000
-DENSE = 1_600  # centroids
+SAMPLE_BYTES = 128 << 20
+DENSE = 64  # centroids
 _ORDERS = (1, 2, 3, 4)
 _MARKS = bytes(range(0x41)) + b"[\\]^_`{|}~\x7f"
 TABLE = LOWER.translate(bytes.maketrans(_MARKS, b" " * len(_MARKS)))
@@ -96,8 +99,8 @@ def has_letter(text: bytes | None) -> bool:
     return bool(text) and (any(97 <= c <= 122 for c in text[:256].translate(LOWER)) or _LETTER.search(text.decode("utf-8", "replace")) is not None)
 
 
-def train(rows: list[tuple[bytes, str]], *, bits: int = 16, per_language: int = 4, rounds: int = 8, quantile: float = 0.005, margin: float = 0.15) -> LanguageModel:
-    vectors = [(*vector(t, bits), lang) for t, lang in rows if has_letter(t)]
+def train(vectors: list[tuple[np.ndarray, np.ndarray, str]], *, bits: int = 16, per_language: int = 4, rounds: int = 8, quantile: float = 0.005, margin: float = 0.15, most_dense: int = DENSE) -> LanguageModel:
+    """The model of (coordinates, counts, language) of the sample's texts, in a fixed order."""
     seen = np.zeros(1 << bits)
     for index, _, _ in vectors:
         seen[index] += 1
@@ -107,7 +110,7 @@ def train(rows: list[tuple[bytes, str]], *, bits: int = 16, per_language: int =
     by_language: dict[str, list] = {}
     for i, n, lang in vectors:
         by_language.setdefault(lang, []).append((i, n))
-    dense = sum(min(per_language, len(x)) for x in by_language.values()) <= DENSE
+    dense = sum(min(per_language, len(x)) for x in by_language.values()) <= most_dense
     for lang in sorted(by_language):
         own = [(i, _unit(i, n, idf)) for i, n in by_language[lang]]
         k = min(per_language, len(own))
@@ -132,33 +135,48 @@ def _unit(index: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (w / np.linalg.norm(w)).astype(np.float32)
 
 
-def fit(documents: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, **how) -> LanguageModel:
+def fit(documents: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, bits: int = 16, **how) -> LanguageModel:
     """Train on at most ``sample_rows`` texts, the same number of each language as far as there are any, and one at least.
 
-    The rows are those with the smallest hash of their id and text within each language. A
-    threshold on that hash, not a sort of the corpus, picks them before any text reaches the driver.
+    The rows are those with the smallest hash of their id and text within each language, as long as their vectors
+    take up no more than the language's share of ``sample_bytes``. A threshold on that hash, not a sort of the corpus,
+    picks them; equal rows count once. One task trains on the vectors, and the model alone comes to the driver.
     """
     known = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-    counts = known.groupBy("lang").count()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     languages = counts.count()
     if not languages:
         return train([])
     share = max(1, sample_rows // languages)
     # a threshold on a uniform hash passes about twice the rows wanted
-    bound = F.least(F.lit(1.0), (2.0 * share + 50) / F.col("count")) * (1 << 30)
-    chosen = known.join(F.broadcast(counts.select("lang", bound.cast("long").alias("bound"))), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("bound"))
-    chosen = chosen.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= share)
-    rows: dict[str, list] = {}
-    for r in sorted(chosen.select("lang", "text", "h").collect(), key=lambda r: (r["h"], r["text"])):
-        rows.setdefault(r["lang"], []).append((r["text"].encode(), r["lang"]))
-    return train([x for lang in sorted(rows) for x in rows[lang]], **how)
-
-
-def predict(documents: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
-    """Every row with ``lang_pred``, ``lang_score`` and ``lang_rejected`` (replacing columns of those names)."""
-    base = documents.drop("lang_pred", "lang_score", "lang_rejected")
+    bound = F.least(F.lit(1.0), (2.0 * share + 50) / F.col("n")) * (1 << 30)
+    chosen = known.join(counts.select("lang", bound.cast("long").alias("bound")), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("bound"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches):
+            lettered = [i for i, t in enumerate(texts) if has_letter(t)]
+            vectors = [vector(texts[i], bits) for i in lettered]
+            at = pa.array(lettered, pa.int64())
+            yield pa.record_batch([batch.column("lang").take(at), batch.column("h").take(at), *(pa.array([v[k].tobytes() for v in vectors], pa.binary()) for k in (0, 1))], ["lang", "h", "index", "counts"])
+
+    chosen = chosen.select("lang", "h", "text").mapInArrow(encode, "lang string, h long, index binary, counts binary").dropDuplicates(["lang", "h"])
+    first = W.partitionBy("lang").orderBy("h")  # about 2 * share rows of a language
+    size = F.sum(F.octet_length("index") * 2).over(first.rowsBetween(W.unboundedPreceding, 0))
+    chosen = chosen.withColumn("k", F.row_number().over(first)).withColumn("size", size).where((F.col("k") == 1) | (F.col("k") <= share) & (F.col("size") <= sample_bytes // languages))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("lang", "h", "index", "counts")), strict=True)), key=lambda r: r[:2])
+        yield pa.record_batch([pa.array([pickle.dumps(train([(np.frombuffer(i, np.int32), np.frombuffer(n, np.int32), lang) for lang, _, i, n in got], bits=bits, **how))])], ["model"])
+
+    found = chosen.repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else train([])
+
+
+def predict(documents: DataFrame, model: LanguageModel, *, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_rejected")) -> DataFrame:
+    """Every row with the language, its score and whether it is rejected (replacing columns of those ``names``)."""
+    base = documents.drop(*names)
     shipped = documents.sparkSession.sparkContext.broadcast(model)
-    schema = base.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score"), F.lit(False).alias("lang_rejected")).schema
+    schema = base.select("*", *[F.lit(x).alias(n) for x, n in zip(("", 0.0, False), names, strict=True)]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
@@ -170,10 +188,10 @@ def predict(documents: DataFrame, model: LanguageModel, *, text_col: str = "text
                     continue
                 index, counts = vector(text, m.bits)
                 cosine = m.cosines(index, _unit(index, counts, m.idf))
-                best = int(np.argmax(cosine))
+                best = int(np.argmax(cosine > cosine.max() - 1e-6))
                 lang.append(m.language[best]), score.append(min(1.0, max(0.0, float(cosine[best]))))
                 rejected.append(score[-1] < m.floor[lang[-1]])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*batch.schema.names, "lang_pred", "lang_score", "lang_rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*batch.schema.names, *names])
 
     return base.mapInArrow(run, schema)
 
@@ -190,5 +208,5 @@ def langid_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that lie near enough to a learned language; the model learns from the corpus."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(documents.where(remainder("doc_id", 3) != 1))
-    names = docs.columns
-    return predict(docs, model).where("NOT lang_rejected").select(*[F.col(f"`{n}`") for n in names])
+    names = [free_name(docs, n) for n in ("_lang", "_lang_score", "_lang_rejected")]
+    return predict(docs, model, names=tuple(names)).where(~F.col(names[2])).drop(*names)

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import keep, remove, shared_dir
-from ._text import WordHashes, chunks, mix, shingles, word_hashes
+from ._text import WordHashes, chunks, free_name, mix, shingles, word_hashes
 
 _STEP = 0x9E3779B97F4A7C15
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -325,7 +325,7 @@ def near_dup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = grouped(docs.select("doc_id", "text")).where("id IS NOT NULL AND group IS NOT NULL")
     stays = found.groupBy("group").agg(F.min(F.struct("id", "version")).alias("s"))
-    key = _free(docs, "_text_of_id")
+    key = free_name(docs, "_text_of_id")
     pair = F.struct("id", "version").alias(key)
     goes = found.join(stays, "group").where(F.struct("id", "version") != F.col("s")).select(pair).distinct()
     twice = found.groupBy("id", "version").count().where("count > 1").select(pair)
@@ -334,11 +334,3 @@ def near_dup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not twice.isEmpty():
         named = named.join(twice, key, "left_anti").unionByName(named.join(twice, key, "left_semi").dropDuplicates([key]))
     return named.drop(key).unionByName(docs.where("doc_id IS NULL")).select([F.col(f"`{c}`") for c in docs.columns])
-
-
-def _free(df: DataFrame, name: str) -> str:
-    """``name``, or that with underscores in front, so that no column has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name

@@ -8,8 +8,9 @@ the model that is broadcast has a few thousand entries and never more than ``2**
 
 Defined results: a null or empty text has no feature and gets the score of the bias alone;
 rows of ``labels`` whose id or label is null, or whose label is neither 0 nor 1, are not used;
-of several labels for one id the largest counts; without any label the score is 0.0. Input
-rows come back one for one, repeated rows included.
+of several labels for one id the largest counts, of several texts that with the smallest hash;
+without any label the score is 0.0. Input rows come back one for one, repeated rows included. The stage
+judges every row by its own text and keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import LOWER, WordHashes, chunks, mix, word_hashes
+from ._text import LOWER, WordHashes, chunks, free_name, mix, word_hashes
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 TABLE = LOWER.translate(bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION)))
@@ -93,8 +94,8 @@ def train(rows: list[tuple[np.ndarray, int]], how: Ftrl) -> ToxicityModel:
 def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, how: Ftrl = Ftrl()) -> ToxicityModel:
     """Train on at most ``sample_rows`` labelled documents, taken in the order of a hash of their ids.
 
-    The bound is on the classifier's training rows only; scoring covers everything. Coordinates,
-    not texts, come to the driver.
+    The bound is on the classifier's training rows only; scoring covers everything. One task trains on
+    the coordinates of the sample.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
@@ -109,13 +110,21 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
             key = np.unique((text << bits) | index)
             ends = np.searchsorted(key, np.arange(1, len(texts) + 1, dtype=np.int64) << bits)
             packed = [(x & ((1 << bits) - 1)).astype("<i4").tobytes() for x in np.split(key, ends[:-1])]
-            yield pa.record_batch([batch.column(batch.schema.get_field_index("id")), batch.column(batch.schema.get_field_index("y")), pa.array(packed, pa.binary())], ["id", "y", "x"])
+            yield pa.record_batch([batch.column("id"), batch.column("y"), batch.column("h"), pa.array(packed, pa.binary())], ["id", "y", "h", "x"])
 
     # the sample has at most sample_rows small rows, which is the proven bound of this broadcast
-    rows = texts.join(F.broadcast(known), "id").select("id", "y", "text")
-    encoded = rows.mapInArrow(encode, f"id {documents.schema[id_col].dataType.simpleString()}, y int, x binary").dropDuplicates(["id"])
-    got = sorted(encoded.collect(), key=lambda r: r["id"])
-    return train([(np.frombuffer(r["x"], "<i4"), r["y"]) for r in got], how)
+    rows = texts.join(F.broadcast(known), "id").select("id", "y", "text", F.xxhash64("text").alias("h"))
+    encoded = rows.mapInArrow(encode, f"id {documents.schema[id_col].dataType.simpleString()}, y int, h long, x binary")
+    one = encoded.groupBy("id").agg(F.min(F.struct("h", "x", "y")).alias("r")).select("id", "r.x", "r.y")  # of several texts that with the smallest hash
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("id", "x", "y")), strict=True)), key=lambda r: r[0])
+        m = train([(np.frombuffer(x, "<i4"), y) for _, x, y in got], how)
+        yield pa.record_batch([pa.array([m.bias]), pa.array([m.index.tobytes()]), pa.array([m.weight.tobytes()])], ["bias", "index", "weight"])
+
+    # at most sample_rows rows meet in one task, and the sparse weights alone come to the driver
+    found = one.repartition(1).mapInArrow(learn, "bias double, index binary, weight binary").collect()
+    return ToxicityModel(bits, found[0]["bias"], np.frombuffer(found[0]["index"], np.int32), np.frombuffer(found[0]["weight"], np.float32)) if found else train([], how)
 
 
 def score(documents: DataFrame, model: ToxicityModel, *, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -156,5 +165,6 @@ def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that score under 0.5; the model learns from the labels of the corpus."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scored = score(docs.drop("_toxicity"), fit(documents, labels.where(remainder("doc_id", 5) != 0)), out="_toxicity")
-    return scored.where("_toxicity < 0.5").drop("_toxicity")
+    out = free_name(docs, "_toxicity")
+    scored = score(docs, fit(documents, labels.where(remainder("doc_id", 5) != 0)), out=out)
+    return scored.where(F.col(out) < 0.5).drop(out)

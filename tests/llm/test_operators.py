@@ -286,14 +286,52 @@ def test_language_id(spark, messy):
     assert langid.predict(messy, langid.fit(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
-def test_language_id_learns_every_language(spark, monkeypatch):
+def grams(text, bits):
+    """Coordinate -> count of the 1- to 4-grams of a text, character by character."""
+    line = " " + " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), text).translate({c: " " for c in [*range(0x41), *map(ord, "[\\]^_`{|}~\x7f")]}).split(" ")).strip(" ") + " "
+    line = re.sub(" +", " ", line)
+    raw, out = line.encode(), collections.Counter()
+    for n in (1, 2, 3, 4):
+        for k in range(len(raw) - n + 1):
+            if n < 3 or b" " not in raw[k + 1 : k + n - 1]:
+                code = 0
+                for c in raw[k : k + n]:
+                    code = (code * 257 + c + 1) % (1 << 64)
+                out[(code * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - bits)] += 1
+    return out
+
+
+def test_language_id_against_plain_cosines(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").where("length(text) < 2000").limit(120)
+    model = langid.fit(docs, bits=14, sample_rows=60)
+    columns = model.centroids.T.tolist()
+    for r in langid.predict(docs, model).collect():
+        own = {c: (1 + math.log(n)) * float(model.idf[c]) for c, n in grams(r["text"], 14).items()}
+        norm = math.sqrt(sum(x * x for x in own.values()))
+        cosines = [sum(x * centre[c] for c, x in own.items()) / norm for centre in columns]
+        assert abs(max(cosines) - r["lang_score"]) < 1e-4
+        near = {model.language[k] for k, x in enumerate(cosines) if x > max(cosines) - 1e-5}
+        assert r["lang_pred"] in near and r["lang_rejected"] == (r["lang_score"] < model.floor[r["lang_pred"]])
+
+
+def test_language_id_ties_repeats_and_bytes(spark):
+    rows = [(k, "the same text in two languages", lang) for k, lang in enumerate(["zz", "aa"] * 3)] + [(9, "ein anderer satz", "de")] * 500 + [(10, "42 !", "de"), (11, "wort " * 5000, "de"), (None, "noch ein satz", "de"), (12, "kein", None), (13, None, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert set(model.language) == {"aa", "de", "zz"} and model.language.count("de") == 3
+    got = {r["text"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert got["the same text in two languages"] == "aa" and got["42 !"] == "und" and got["ein anderer satz"] == "de"
+    small = langid.fit(docs, sample_bytes=1)  # the first text of each language alone
+    assert sorted(small.language) == ["aa", "de", "zz"]
+
+
+def test_language_id_learns_every_language(spark):
     rng = np.random.default_rng(6)
     letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
     rows = [(4 * k + j, " ".join(own), f"l{k:03}") for k in range(420) for own in [["".join(rng.choice(letters, 7)) for _ in range(12)]] for j in range(1 + (k < 400))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    for bound in (langid.DENSE, 100):
-        monkeypatch.setattr(langid, "DENSE", bound)
-        model = langid.fit(docs, bits=12)
+    for bound in (2000, 100):
+        model = langid.fit(docs, bits=12, most_dense=bound)
         assert isinstance(model.centroids, langid.Sparse) == (bound == 100) and len(set(model.language)) == 420
         assert langid.predict(docs, model).where("lang <> lang_pred OR lang_score < 0.999").isEmpty()
     assert len(set(langid.fit(docs, bits=12, sample_rows=10).language)) == 420
@@ -386,6 +424,73 @@ def test_toxicity(spark, messy):
     assert {r["score"] for r in toxicity.score(messy, toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
 
 
+def plain_ftrl(rows, how):
+    """The same updates, coordinate by coordinate, in 64-bit floats."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if i != "bias" and abs(z[i]) <= how.l1:
+            return 0.0
+        return (math.copysign(how.l1, z[i]) * (z[i] != 0) - z[i]) / ((how.beta + math.sqrt(n[i])) / how.alpha + how.l2)
+
+    order = np.random.default_rng(17)
+    for _ in range(how.epochs):
+        for k in order.permutation(len(rows)):
+            x, y = [*rows[k][0].tolist(), "bias"], rows[k][1]
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - y
+            for i in x:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / how.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return weight("bias"), {i: weight(i) for i in z if i != "bias" and abs(z[i]) > how.l1}
+
+
+def test_toxicity_against_plain_ftrl():
+    rng = np.random.default_rng(8)
+    rows = [(np.unique(np.append(rng.integers(0, 300, 20), 300 + y)), y) for y in rng.integers(0, 2, 150).tolist()]
+    how = toxicity.Ftrl(bits=12, l1=0.5)
+    model = toxicity.train(rows, how)
+    bias, weights = plain_ftrl(rows, how)
+    assert abs(model.bias - bias) < 1e-3
+    got = dict(zip(model.index.tolist(), model.weight.tolist()))
+    for i in set(got) | set(weights):
+        assert abs(got.get(i, 0.0) - weights.get(i, 0.0)) < 2e-3
+
+
+def test_toxicity_features_and_repeated_ids(spark):
+    words = b"you ARE, a scum".translate(toxicity.TABLE).split()
+    memo = toxicity.WordHashes()
+    index, owner = toxicity.features(*toxicity.word_hashes([b"you ARE, a scum", b"", b"you are"], memo, toxicity.TABLE), 22)
+    assert len(words) == 4 and np.bincount(owner, minlength=3).tolist() == [4 + 3 + 2, 0, 2 + 1]
+    rows = [(i, f"good {i}") for i in range(20)] + [(50, "bad thing"), (50, "other text")] * 3
+    labels = spark.createDataFrame([(i, 0) for i in range(20)] + [(50, 1)], "doc_id long, toxic int")
+    models = [toxicity.fit(spark.createDataFrame(r, "doc_id long, text string").repartition(k), labels, how=toxicity.Ftrl(l1=0.1)) for r, k in ((rows, 1), (rows[::-1], 5))]
+    assert models[0].bias == models[1].bias and (models[0].index == models[1].index).all() and (models[0].weight == models[1].weight).all()
+
+
+@pytest.mark.parametrize("name", ["toxicity", "language_id", "near_dedup", "decontamination"])
+def test_stages_keep_all_columns(spark, messy, name, tmp_path):
+    """Clashing names, null ids, repeated rows and empty tables pass through every filtering stage."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    spark.createDataFrame([(k, BASE if k % 2 else "une histoire", "en" if k % 2 else "fr", "s", 1) for k in range(30)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "long words here long words here long words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clash = messy.withColumns({c: F.lit("mine") for c in ("_toxicity", "lang_pred", "_lang", "_lang_score", "lang_rejected", "_text_of_id", "version", "group", "h", "item", "digest", "leak", "s")})
+    left = stage(spark, clash, str(tmp_path))
+    assert left.columns == clash.columns
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in left.collect())
+    assert not kept - collections.Counter(plain(messy)) and all(r["_toxicity"] == r["lang_pred"] == r["leak"] == "mine" for r in left.collect())
+    gone = {i for i, _ in plain(messy)} - {i for i, _ in kept}
+    if name in ("toxicity", "decontamination", "near_dedup"):
+        assert gone == {"toxicity": set(), "decontamination": {10}, "near_dedup": {2, 3, 8}}[name]
+    else:
+        assert {4, 5, 6} <= gone and 1 not in gone and kept[(11, messy.where("doc_id = 11").first()["text"])] in (0, 2)
+    assert stage(spark, clash.limit(0), str(tmp_path)).count() == 0
+
+
 def base_places(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     found = [(k, label) for phrase, label in license_scan.PHRASES for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
