@@ -19,11 +19,19 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor shares")
         base = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="relspark-"))
+    small_batches(spark)
     path = f"{base.rstrip('/')}/relspark-{uuid.uuid4().hex}"
     atexit.register(_quiet_remove, spark, path)
     return path
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let Arrow batches of this session hold at most ``most`` bytes: long texts then take no more of a task's memory than short ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > most:
+        spark.conf.set(key, str(most))
+
+
 def keep(df: DataFrame, name: str = "t", folder: str | None = None) -> DataFrame:
     """Write the rows once and read them back: later steps neither recompute them nor depend on an executor's disk."""
     spark = df.sparkSession

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -26,7 +26,7 @@ class WordHashes(dict):
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
-    def trim(self, most: int = 200_000) -> None:
+    def trim(self, most: int = 100_000) -> None:
         if len(self) > most:
             self.clear()
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._store import small_batches
 from ._text import LOWER, chunks, free_name
 from .toxicity import remainder
 
@@ -143,6 +144,7 @@ def fit(documents: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     picks them; equal rows count once. One task trains on the vectors, and the model alone comes to the driver.
     """
     known = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    small_batches(documents.sparkSession)
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     languages = counts.count()
     if not languages:
@@ -175,6 +177,7 @@ def fit(documents: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
 def predict(documents: DataFrame, model: LanguageModel, *, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_rejected")) -> DataFrame:
     """Every row with the language, its score and whether it is rejected (replacing columns of those ``names``)."""
     base = documents.drop(*names)
+    small_batches(documents.sparkSession)
     shipped = documents.sparkSession.sparkContext.broadcast(model)
     schema = base.select("*", *[F.lit(x).alias(n) for x, n in zip(("", 0.0, False), names, strict=True)]).schema
 

@@ -52,7 +52,7 @@ class PartIds:
     ``most_bytes / 2`` each: when the younger is full it replaces the older, so a part that is met again in time stays.
     """
 
-    def __init__(self, path: str, most_bytes: int = 64 << 20):
+    def __init__(self, path: str, most_bytes: int = 48 << 20):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -98,12 +98,15 @@ class PartIds:
         finally:
             gc.enable()
 
+    def forget(self) -> None:
+        self.known, self.older, self.held = {}, {}, 0
+
     def _add(self, part: str | bytes, ids: bytes) -> None:
         self.known[part] = ids
         self.held += 190 + len(part) + len(ids)
 
 
-_memo: dict[str, PartIds] = {}  # of bounded size; lives as long as a Python worker
+_tokenizers: dict[str, PartIds] = {}  # live as long as a Python worker; what they know is forgotten after each task
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
@@ -113,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo.get(tokenizer_path) or _memo.setdefault(tokenizer_path, PartIds(tokenizer_path))
+        memo = _tokenizers.get(tokenizer_path) or _tokenizers.setdefault(tokenizer_path, PartIds(tokenizer_path))
         for batch, texts in chunks(batches):
             parts = list(map(memo.parts, texts))
             memo.learn(parts)
@@ -127,6 +130,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
                         ids.append(np.frombuffer(part, "<u4").astype(np.int32))
             columns = [batch.column(batch.schema.get_field_index("id")).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.record_batch(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+        memo.forget()
 
     return source.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import small_batches
 from ._text import LOWER, WordHashes, chunks, free_name, mix, word_hashes
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -101,6 +102,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bits = how.bits
+    small_batches(documents.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -131,6 +133,7 @@ def score(documents: DataFrame, model: ToxicityModel, *, text_col: str = "text",
     """Every row of ``documents`` with its probability of being toxic in ``out`` (replacing a column of that name)."""
     spark = documents.sparkSession
     base = documents.drop(out)
+    small_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
     schema = base.select("*", F.lit(0.0).alias(out)).schema
 
