@@ -4,8 +4,10 @@ Every word 2-gram of a text is joined to the positions where a template has it (
 are compared, not only their hash). A hit at text word p and template word q votes for the diagonal
 p - q. Base phrases count where one diagonal holds all of the phrase's 2-grams. For the longer
 templates neighbouring diagonals (at most ``slack`` apart, hits within one template length) are
-merged, so that an inserted or missing word does not break a match; a merged span gives its label
-when it covers at least ``cover`` of the template's 2-grams within ``stretch`` times its length.
+merged, so that an inserted or missing word does not break a match. A merged span is verified: of the
+template's positions that it hits, each once at its first place, those count that come in the template's
+order; it gives its label when they are at least ``cover`` of the template's 2-grams and lie within ``stretch``
+times its length.
 
 Words are runs of ASCII letters and digits and of all non-ASCII characters. ``lower`` is used for
 A-Z: it changes other letters too, but moves no word boundary and makes no other letter into one of
@@ -32,20 +34,31 @@ PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-# Words of well-known public licence notices, and their labels.
+# Paragraphs of well-known public licences and their notices, in words, and their labels.
 NOTICES = (
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", "mit"),
     ("the software is provided as is without warranty of any kind express or implied", "mit"),
-    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache-2"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "isc"),
+    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", "apache-2"),
     ("licensed under the apache license version 2 0", "apache-2"),
     ("this work is licensed under the gnu general public license version 3", "gpl-3"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
+    ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "gpl"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "bsd"),
+    ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", "bsd"),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mpl-2"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
     ("licensed under the creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
     ("licensed under the creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
     ("licensed under the creative commons attribution 4 0 international license", "cc-by"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "unlicense"),
 )
 _END = -1  # the template number of the row that stands for the document itself
 
@@ -75,7 +88,8 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     same = (F.col("p") == 0) & (F.col("template") == _END) | (F.get("w", F.col("p") - 1) == F.col("w1")) & (F.get("w", F.col("p")) == F.col("w2"))
     hits = hits.join(table, "g").where(same).select("row", "id", "n_words", "template", (F.col("p") - 1).cast("long").alias("p"), F.when(F.col("template") != _END, F.col("p") - 1 - F.col("at")).cast("long").alias("diagonal"))
 
-    votes = hits.groupBy("row", "id", "n_words", "template", "diagonal").agg(F.count("*").alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    # a diagonal has at most one place for each position of the template
+    votes = hits.groupBy("row", "id", "n_words", "template", "diagonal").agg(F.count("*").alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi"), F.collect_list("p").alias("ps"))
     votes = votes.join(about, "template", "left")
     along = W.partitionBy("row", "template").orderBy("diagonal")
     apart = (F.col("diagonal") - F.lag("diagonal").over(along) > slack) | (F.col("lo") - F.lag("hi").over(along) > F.col("grams"))
@@ -86,14 +100,16 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         F.any_value("label").alias("label"),
         F.any_value("base").alias("base"),
         F.any_value("grams").alias("grams"),
-        F.sum("n").alias("n"),
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
+        F.sort_array(F.flatten(F.collect_list(F.transform("ps", lambda p: F.struct((p - F.col("diagonal")).alias("at"), p.alias("p")))))).alias("met"),
         F.sum(full.cast("long")).alias("places"),
         F.min(F.when(full, F.col("diagonal"))).alias("first"),
         F.max(F.when(full, F.col("diagonal"))).alias("last"),
     )
-    covered = F.when(F.col("base"), F.when(F.col("places") > 0, 1.0).otherwise(0.0)).when(F.col("hi") - F.col("lo") + 1 <= F.col("grams") * stretch, F.least(F.lit(1.0), F.col("n") / F.col("grams"))).otherwise(0.0)
+    spans = spans.withColumn("met", F.when(~F.col("base"), F.filter("met", lambda x, i: (i == 0) | (x["at"] != F.get("met", i - 1)["at"]))))  # each position at its first place
+    spans = spans.withColumn("met", F.filter("met", lambda x, i: (i == 0) | (x["p"] > F.get("met", i - 1)["p"])))
+    length = F.array_max(F.transform("met", lambda x: x["p"])) - F.array_min(F.transform("met", lambda x: x["p"])) + 1
+    verified = F.when(length <= F.col("grams") * stretch, F.size("met") / F.col("grams"))
+    covered = F.when(F.col("base"), F.when(F.col("places") > 0, 1.0).otherwise(0.0)).otherwise(verified)
     spans = spans.withColumn("covered", F.coalesce(covered, F.lit(0.0)))
     base_label = F.when(F.col("places") > 0, F.col("label"))
     any_label = F.when(F.col("covered") >= cover, F.col("label"))

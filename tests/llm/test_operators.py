@@ -521,3 +521,54 @@ def test_pipeline(spark):
     assert 0.7 * docs.count() < len(kept) < docs.count() and not kept & leaks
     copies = docs.where(F.col("doc_id").isin(list(kept))).groupBy("text").count().where("count > 1")
     assert copies.isEmpty()
+
+
+def plain_scan(text, slack=2, cover=0.75, stretch=1.5):
+    """Labels and score by walking over every template, without hashes or joins."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    base = base_places(text)
+    labels, best = set(filter(None, base[4].split(","))), 1.0 if base[1] else 0.0
+    for notice, label in license_scan.NOTICES:
+        t = notice.split()
+        lines = collections.defaultdict(list)
+        for at in range(len(t) - 1):
+            for p in range(len(w) - 1):
+                if w[p : p + 2] == t[at : at + 2]:
+                    lines[p - at].append((at, p))
+        spans, before = [], None
+        for d in sorted(lines):
+            lo, hi = min(p for _, p in lines[d]), max(p for _, p in lines[d])
+            if before is None or d - before[0] > slack or lo - before[1] > len(t) - 1:
+                spans.append([])
+            spans[-1] += lines[d]
+            before = d, hi
+        for span in spans:
+            first = [(at, min(p for a, p in span if a == at)) for at in sorted({a for a, _ in span})]
+            rising = [x for k, x in enumerate(first) if k == 0 or x[1] > first[k - 1][1]]
+            ps = [p for _, p in rising]
+            if max(ps) - min(ps) + 1 <= (len(t) - 1) * stretch:
+                best = max(best, len(rising) / (len(t) - 1))
+                if len(rising) >= cover * (len(t) - 1):
+                    labels.add(label)
+    return ",".join(sorted(labels)), round(best, 9)
+
+
+def test_license_scan_against_plain_walks(spark, messy):
+    rng = np.random.default_rng(12)
+    notices = [t.split() for t, _ in license_scan.NOTICES]
+    rows = [(1, "the license " * 15), (2, "the license of the software " * 6), (3, None), (4, license_scan.NOTICES[0][0].upper())]
+    for k in range(80):
+        own = list(notices[k % len(notices)])
+        for _ in range(int(rng.integers(0, 6))):
+            at = int(rng.integers(0, len(own)))
+            own[at : at + int(rng.integers(0, 2))] = ["odd"] * int(rng.integers(0, 3))
+        if k % 5 == 0:
+            own = own + notices[(k + 3) % len(notices)] + own[: len(own) // 2]
+        if k % 7 == 0:
+            own = own[::-1]
+        rows.append((10 + k, " ".join(["some", "words"] * int(rng.integers(0, 4)) + own + ["the", "end"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(messy.select("doc_id", "text"))
+    got = license_scan.scan_licenses(docs).collect()
+    want = collections.Counter((i, *plain_scan(t)) for i, t in plain(docs))
+    assert collections.Counter((r["doc_id"], r["labels"], round(r["score"], 9)) for r in got) == want
+    assert next(r["labels"] for r in got if r["doc_id"] == 1 and r["n_words"] == 30) == ""
