@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that read as true or false.
-TRUE_WORDS = ("TRUE", "YES", "WAAR", "JA", "WEL", "1")
-FALSE_WORDS = ("FALSE", "NO", "ONWAAR", "NEE", "NIET", "0")
+TRUE_WORDS = ("TRUE", "YES", "WAAR", "JA", "WEL")
+FALSE_WORDS = ("FALSE", "NO", "ONWAAR", "NEE", "NIET")
 SHORT, HEAD, TAIL = 254, 243, 10  # Fixed values: longest id, and what stays of a longer one
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .plans.lower import Lowering
-from .plans.normalize import normalize
 from .properties import has
 from .terms import Term
 
@@ -20,6 +19,8 @@ class Field:
     fields: tuple[Field, ...] = ()
     text: str | None = None  # a constant instead of a term
     crud: str = "CRUD"
+    ref: str | None = None  # the interface whose fields these are, or to which the values only link
+    link: bool = False
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,7 @@ class Box:
 def _children(lowering: Lowering, concept: str, fields: tuple[Field, ...]) -> list[tuple[Field, DataFrame | None, Term | None]]:
     out = []
     for f in fields:
-        typed = None if f.text is not None else normalize(lowering.typer.resolve(f.term, concept))
+        typed = None if f.text is not None else lowering.normal(lowering.typer.resolve(f.term, concept))
         out.append((f, None if typed is None else lowering.lower(typed).distinct(), typed))
     return out
 
@@ -59,7 +60,7 @@ def _atoms_with(lowering: Lowering, atoms: DataFrame, concept: str, fields: tupl
 
 def nested_query(lowering: Lowering, box: Box, atom=None) -> DataFrame:
     """One row for each atom that the box's term reaches (from ``atom`` only, if given), nested as the box is."""
-    typed = normalize(lowering.typer.resolve(box.term))
+    typed = lowering.normal(lowering.typer.resolve(box.term))
     pairs = lowering.lower(typed).distinct()
     if atom is not None:
         pairs = pairs.where(F.col("src") == F.lit(atom))
@@ -68,7 +69,7 @@ def nested_query(lowering: Lowering, box: Box, atom=None) -> DataFrame:
 
 def flat_query(lowering: Lowering, box: Box) -> DataFrame:
     """The univalent fields of the box and of its univalent inner boxes, side by side."""
-    typed = normalize(lowering.typer.resolve(box.term))
+    typed = lowering.normal(lowering.typer.resolve(box.term))
     out = lowering.lower(typed).frame.select(F.col("tgt").alias("src")).distinct()
     return _flat(lowering, out, "src", lowering.ends(typed)[1], box.fields, "")
 

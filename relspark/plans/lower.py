@@ -17,7 +17,7 @@ from ..operators.closure import transitive_closure
 from ..properties import has, is_empty
 from ..terms import ONE, Atom, Compare, Compl, Compose, Converse, Diamond, Diff, Equiv, Full, Id, Incl, Inter, LeftResidual, Plus, Product, Reduce, Rel, RelAdd, RightResidual, Star, Term, Union
 from ..typing import Typer
-from .normalize import normalize
+from .normalize import Universe, normalize
 
 _OPS = {"<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b}
 
@@ -45,7 +45,15 @@ class Lowering:
     def frame(self, term: Term) -> DataFrame:
         """The term's pairs as a set."""
         typed = self.typer.resolve(term)
-        return self.lower(normalize(typed)).distinct()
+        return self.lower(self.normal(typed)).distinct()
+
+    def frame_of(self, term: Term, concept: str) -> DataFrame:
+        """The pairs of a term whose source is the given concept, as a set."""
+        return self.lower(self.normal(self.typer.resolve(term, concept))).distinct()
+
+    def normal(self, typed: Term) -> Term:
+        """The typed term, rewritten where its concepts allow."""
+        return normalize(typed, universe=Universe(self.ends, self.catalog.lattice.leq))
 
     # concepts of a typed term's ends
     def ends(self, term: Term) -> tuple[str, str]:
@@ -85,7 +93,7 @@ class Lowering:
             case Product(a, b):
                 dom = self.lower(a).frame.select("src").distinct()
                 cod = self.lower(b).frame.select("tgt").distinct()
-                return Pairs(dom.crossJoin(cod), True)
+                return Pairs(self._all(dom, cod), True)
             case RightResidual(a, b):
                 return Pairs(self._residual(a, b), True)
             case LeftResidual(a, b):
@@ -127,7 +135,7 @@ class Lowering:
 
     def _inter(self, a: Term, b: Term) -> Pairs:
         for x, y in ((a, b), (b, a)):
-            if isinstance(x, Compl):
+            if isinstance(x, Compl) and self._within(y, x.of):
                 return self._diff(y, x.of)
         for x, y in ((a, b), (b, a)):
             if isinstance(x, Id):
@@ -140,17 +148,28 @@ class Lowering:
                 held = self.lower(x).frame
                 return Pairs(p.frame.where((F.col("src") == F.lit(x.value)) & (F.col("tgt") == F.lit(x.value))).join(held, ["src", "tgt"], "left_semi"), p.is_set)
             if isinstance(x, Full):
-                return self.lower(y)
+                return self._restricted(self.lower(y), self.ends(y), (x.src, x.tgt))
         p = self.lower(a)
         return Pairs(p.frame.join(self.lower(b).frame, ["src", "tgt"], "left_semi"), p.is_set)
 
+    def _within(self, a: Term, b: Term) -> bool:
+        return all(self.catalog.lattice.leq(x, y) for x, y in zip(self.ends(a), self.ends(b), strict=True))
+
+    def _restricted(self, p: Pairs, own: tuple[str, str], to: tuple[str, str]) -> Pairs:
+        """The pairs whose ends lie in the concepts ``to``: a semi join for each end that isn't there anyway."""
+        frame = p.frame
+        for end, have, want in zip(("src", "tgt"), own, to, strict=True):
+            if not self.catalog.lattice.leq(have, want):
+                frame = frame.join(self.catalog.population(want).select(F.col("atom").alias(end)), end, "left_semi")
+        return Pairs(frame.select("src", "tgt"), p.is_set)
+
     def _diff(self, a: Term, b: Term) -> Pairs:
         match a, b:
             case Id(concept), Compose(r, Converse(q)) if r == q:
                 # a total relation leaves nothing: look for atoms outside its domain, without the product
                 missing = self.catalog.population(concept).join(self.lower(r).frame.select(F.col("src").alias("atom")), "atom", "left_anti")
                 return Pairs(missing.select(F.col("atom").alias("src"), F.col("atom").alias("tgt")), True)
-            case Full(), Compl(of):
+            case Full(), Compl(of) if self.ends(a) == self.ends(of):
                 return self.lower(of)
             case _, Atom(value, _):
                 p = self.lower(a)
@@ -182,7 +201,7 @@ class Lowering:
         out, so_far = self.lower(chain[0]), chain[0]
         for t in chain[1:]:
             right = self.lower(t)
-            unique = out.is_set and right.is_set and (has(so_far, "UNI", self.catalog) or has(t, "INJ", self.catalog))
+            unique = out.is_set and right.is_set and (has(so_far, "UNI", self.catalog, proven=True) or has(t, "INJ", self.catalog, proven=True))
             out = Pairs(_joined(out.frame, right.frame), unique)
             so_far = Compose(so_far, t)
         return out
@@ -197,7 +216,7 @@ class Lowering:
         """``left ; middle ; right`` where middle is a comparison, V or -I, without its pairs."""
         if isinstance(middle, Full):
             dom, cod = left.frame.select("src").distinct(), right.frame.select("tgt").distinct()
-            return Pairs(dom.crossJoin(cod), True)
+            return Pairs(self._all(dom, cod), True)
         # whether a fitting pair exists depends only on the extremes on each side
         a = left.frame.groupBy("src").agg(F.min("tgt").alias("lo_a"), F.max("tgt").alias("hi_a"))
         b = right.frame.groupBy("tgt").agg(F.min("src").alias("lo_b"), F.max("src").alias("hi_b"))
@@ -216,7 +235,7 @@ class Lowering:
         met = met.groupBy("x", "y").agg(F.count("*").alias("have")).join(need, "x").where("have = need").select(F.col("x").alias("src"), F.col("y").alias("tgt"))
         free = self.catalog.population(self.ends(a)[1]).join(need.select(F.col("x").alias("atom")), "atom", "left_anti")
         every = self.catalog.population(self.ends(b)[1])
-        return met.unionByName(free.select(F.col("atom").alias("src")).crossJoin(every.select(F.col("atom").alias("tgt"))))
+        return met.unionByName(self._all(free.select(F.col("atom").alias("src")), every.select(F.col("atom").alias("tgt"))))
 
     def _diamond(self, a: Term, b: Term) -> DataFrame:
         """Pairs whose sets of z are equal: compared by size and two hashes, never gathered into arrays."""
@@ -227,7 +246,13 @@ class Lowering:
         same = x.join(y, ["n", "h1", "h2"]).select(F.col("x").alias("src"), F.col("y").alias("tgt"))
         no_x = self.catalog.population(self.ends(a)[0]).join(x.select(F.col("x").alias("atom")), "atom", "left_anti").select(F.col("atom").alias("src"))
         no_y = self.catalog.population(self.ends(b)[1]).join(y.select(F.col("y").alias("atom")), "atom", "left_anti").select(F.col("atom").alias("tgt"))
-        return same.unionByName(no_x.crossJoin(no_y))
+        return same.unionByName(self._all(no_x, no_y))
+
+    def _all(self, src: DataFrame, tgt: DataFrame) -> DataFrame:
+        """All pairs of two sides, once their number is known to lie within the bound."""
+        if self.most_product is not None and (size := src.count() * tgt.count()) > self.most_product:
+            raise ProductTooLarge(f"{size} pairs, over the bound of {self.most_product}")
+        return src.crossJoin(tgt)
 
 
 def _flip(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ Concepts are key domains of the tables; every result has the columns src and tgt
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,11 @@ from .terms import Atom, Compare, Compl, Compose, Diamond, Equiv, Full, Id, Incl
 
 def trade(spark: SparkSession, sf_dir: str) -> Catalog:
     """The driver's tables as concepts and relations."""
-    table = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    table = cache(lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet"))
     c = Catalog(spark)
     for concept, name, column in (("Order", "orders", "o_orderkey"), ("Customer", "customer", "c_custkey"), ("Supplier", "supplier", "s_suppkey"), ("Part", "part", "p_partkey"), ("Nation", "nation", "n_nationkey"), ("Region", "region", "r_regionkey"), ("Doc", "documents", "doc_id")):
         c.concept(concept, table(name), column, key=True, closed=True)
-    add = lambda n, s, t, name, cols, props="", key=False: c.relation(n, s, t, table(name), cols, props.split(), key=key)
+    add = lambda n, s, t, name, cols, props="", key=False: c.relation(n, s, t, table(name), cols, props.split(), key=key, proven=["UNI"] * key)
     add("custOf", "Order", "Customer", "orders", ("o_orderkey", "o_custkey"), "UNI TOT", True)
     add("custNation", "Customer", "Nation", "customer", ("c_custkey", "c_nationkey"), "UNI TOT", True)
     add("suppNation", "Supplier", "Nation", "supplier", ("s_suppkey", "s_nationkey"), "UNI TOT", True)
@@ -41,7 +42,7 @@ def trade(spark: SparkSession, sf_dir: str) -> Catalog:
     add("nationName", "Nation", "NationName", "nation", ("n_nationkey", "n_name"), "UNI TOT INJ", True)
     add("suppName", "Supplier", "SupplierName", "supplier", ("s_suppkey", "s_name"), "UNI", True)
     add("labelled", "Doc", "Bit", "labels", ("doc_id", "quality"), "UNI")
-    turns = table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
+    turns = table("conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("at"))
     nexts = turns.join(turns.select((F.col("at") - 1).alias("at"), F.col("at").alias("to")), "at")
     c.relation("nextTurn", "Turn", "Turn", nexts, ("at", "to"), ["UNI", "INJ", "IRF"])
     c.concept("Turn", turns, "at")
@@ -59,7 +60,7 @@ _CUST = "(SELECT o_orderkey AS o, c_nationkey AS n FROM orders JOIN customer ON
 _RING = "(SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b FROM nation)"
 _SUCC = "(SELECT n_nationkey AS a, n_nationkey + 1 AS b FROM nation WHERE n_nationkey < 24)"
 _SAME = "(SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey)"
-_NEXT = "(SELECT DISTINCT x.conv_id * 1000 + x.turn AS a, x.conv_id * 1000 + x.turn + 1 AS b FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)"
+_NEXT = "(SELECT DISTINCT x.conv_id * 1000000 + x.turn AS a, x.conv_id * 1000000 + x.turn + 1 AS b FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)"
 
 
 def _closed(edges: str) -> str:
@@ -153,17 +154,32 @@ def _enforce(op: str, what: str) -> Callable:
 
 
 def isa_population(spark, sf_dir) -> DataFrame:
-    """Parties are customers and suppliers; suppliers' keys are shifted so that they stay apart."""
+    """Parties are customers and suppliers; suppliers' keys are negated so that they stay apart."""
     return _parties(spark, sf_dir).population("Party")
 
 
 def _parties(spark, sf_dir) -> Catalog:
     c = Catalog(spark, [("Client", "Party"), ("Vendor", "Party")])
     c.concept("Client", spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey", key=True)
-    c.concept("Vendor", spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_suppkey") + 1_000).alias("k")), "k", key=True)
+    c.concept("Vendor", spark.read.parquet(f"{sf_dir}/supplier.parquet").select((-1 - F.col("s_suppkey")).alias("k")), "k", key=True)
     return c
 
 
+def inter_v_special(spark, sf_dir) -> DataFrame:
+    """V of a specialisation: of all parties' nations those of clients."""
+    c = _parties(spark, sf_dir)
+    c.relation("lives", "Party", "Nation", spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey"))
+    c.relation("lives", "Party", "Nation", spark.read.parquet(f"{sf_dir}/supplier.parquet").select((-1 - F.col("s_suppkey")).alias("k"), "s_nationkey"))
+    return Lowering(c).frame(Full("Client", "Nation") & Rel("lives"))
+
+
+def compose_violated_uni(spark, sf_dir) -> DataFrame:
+    """A relation that declares UNI and breaks it still gives a set."""
+    c = trade(spark, sf_dir)
+    c.get("lineSupp").properties |= {"UNI"}
+    return Lowering(c).frame(R["lineSupp"] >> R["suppNation"])
+
+
 def smallest_concept(spark, sf_dir) -> DataFrame:
     return _parties(spark, sf_dir).smallest_concepts("Party")
 
@@ -217,14 +233,16 @@ _OTHERS: dict[str, tuple[Callable, str | None]] = {
     "enforce_ins": (_enforce(">:", "inserts"), f"(SELECT a AS src, b AS tgt FROM {_RING} UNION SELECT a, b FROM {_SAME}) EXCEPT SELECT a, b FROM {_SUCC}"),
     "enforce_del": (_enforce(":<", "deletes"), f"SELECT a AS src, b AS tgt FROM {_SUCC} EXCEPT SELECT x.a, y.b FROM {_RING} x JOIN {_RING} y ON x.b = y.a"),
     "enforce_assign": (_enforce(":=", "applied"), f"SELECT DISTINCT x.a AS src, y.b AS tgt FROM {_RING} x JOIN {_RING} y ON x.b = y.a"),
-    "isa_population": (isa_population, "SELECT c_custkey AS atom FROM customer UNION SELECT s_suppkey + 1000 FROM supplier"),
-    "smallest_concept": (smallest_concept, "SELECT c_custkey AS atom, 'Client' AS concept FROM customer UNION SELECT s_suppkey + 1000, 'Vendor' FROM supplier"),
+    "isa_population": (isa_population, "SELECT c_custkey AS atom FROM customer UNION SELECT -1 - s_suppkey FROM supplier"),
+    "inter_V_special": (inter_v_special, "SELECT DISTINCT c_custkey AS src, c_nationkey AS tgt FROM customer"),
+    "compose_violated_uni": (compose_violated_uni, f"SELECT o AS src, n AS tgt FROM {_LINE}"),
+    "smallest_concept": (smallest_concept, "SELECT c_custkey AS atom, 'Client' AS concept FROM customer UNION SELECT -1 - s_suppkey, 'Vendor' FROM supplier"),
     "wide_table": (wide, 'SELECT s_suppkey AS "Supplier", s_acctbal AS "suppBal", s_name AS "suppName", s_nationkey AS "suppNation" FROM supplier'),
     "link_table": (link, "SELECT DISTINCT l_orderkey AS src, l_suppkey AS tgt FROM lineitem"),
-    "pairview_text": (pairview_text, f"SELECT r.a AS src, r.b AS tgt, 'from ' || x.n_name || ' of ' || (SELECT '{{' || string_agg(CAST(s.b AS VARCHAR), ', ' ORDER BY CAST(s.b AS VARCHAR)) || '}}' FROM {_SAME} s WHERE s.a = r.a) || ' to ' || y.n_name AS text FROM {_RING} r JOIN nation x ON r.a = x.n_nationkey JOIN nation y ON r.b = y.n_nationkey WHERE x.n_regionkey <> y.n_regionkey"),
+    "pairview_text": (pairview_text, f"SELECT r.a AS src, r.b AS tgt, 'from ' || x.n_name || ' of ' || (SELECT '{{' || string_agg(CAST(s.b AS VARCHAR), ', ' ORDER BY s.b) || '}}' FROM {_SAME} s WHERE s.a = r.a) || ' to ' || y.n_name AS text FROM {_RING} r JOIN nation x ON r.a = x.n_nationkey JOIN nation y ON r.b = y.n_nationkey WHERE x.n_regionkey <> y.n_regionkey"),
     "interface_nested": (interface_nested, None),
     "broad_query": (broad_query, "SELECT s_suppkey AS src, s_name AS name, s_acctbal AS balance, s_nationkey AS nation, n_name AS nation_name, n_regionkey AS nation_region FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
-    "conv_bool": (conv_bool, "SELECT event_id, CASE event_id % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN NULL ELSE false END AS flag FROM events"),
+    "conv_bool": (conv_bool, "SELECT event_id, CASE event_id % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false ELSE NULL END AS flag FROM events"),
     "conv_split": (conv_split, "SELECT DISTINCT p_partkey AS src, p_brand AS tgt FROM part UNION SELECT p_partkey, p_type FROM part"),
     "conv_sha": (conv_sha, "SELECT doc_id, CASE WHEN length(text) > 254 THEN substring(text, 1, 243) || '_' || substring(sha1(text), 1, 10) ELSE text END AS short FROM documents"),
     "conv_date": (conv_date, "SELECT o_orderkey, DATE '1899-12-30' + CAST(o_orderkey % 50000 AS INTEGER) AS day, CAST(o_orderkey AS VARCHAR) AS text FROM orders"),

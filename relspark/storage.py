@@ -20,7 +20,10 @@ def layout(relation: Relation, *, link_only: bool = False) -> tuple[str, bool]:
 
 
 def wide_table(catalog: Catalog, concept: str) -> DataFrame:
-    """One row for each atom: the atom, a membership column for each specialisation, a column for each relation stored here."""
+    """One row for each atom: the atom, a membership column for each specialisation, a column for each relation stored here.
+
+    A declared property that the data breaks, so that an atom has more than one value, is an error.
+    """
     out = catalog.population(concept).select(F.col("atom").alias(concept))
     for special in sorted(catalog.lattice.smaller(concept) - {concept}):
         own = catalog.population(special).select(F.col("atom").alias("_k"), F.col("atom").alias(special))
@@ -31,6 +34,10 @@ def wide_table(catalog: Catalog, concept: str) -> DataFrame:
         if r.frame is not None and kind == "wide" and (r.tgt if flip else r.src) in family:
             key, value = ("tgt", "src") if flip else ("src", "tgt")
             own = catalog.pairs(r).select(F.col(key).alias("_k"), F.col(value).alias(r.name))
+            if ("INJ" if flip else "UNI") not in r.proven or not catalog.alone(r):
+                broken = F.raise_error(F.concat(F.lit(f"{r} has more than one value for "), F.col("_k").cast("string")))
+                own = own.groupBy("_k").agg(F.count("*").alias("_n"), F.first(r.name).alias(r.name))
+                own = own.select("_k", F.when(F.col("_n") > 1, broken).otherwise(F.col(r.name)).alias(r.name))
             out = out.join(own, F.col(concept) == F.col("_k"), "left").drop("_k")
     return out
 

@@ -7,7 +7,7 @@ import pytest
 from relspark.catalog import Catalog
 from relspark.lattice import Lattice, LatticeError
 from relspark.oracle import SetEvaluator
-from relspark.plans.normalize import conjuncts, normalize
+from relspark.plans.normalize import Universe, conjuncts, normalize
 from relspark.script import ScriptError, parse_script, parse_term, preprocess
 from relspark.terms import Atom, Compl, Compose, Converse, Diamond, Diff, Equiv, Full, Id, Incl, Inter, LeftResidual, Plus, Product, Reduce, Rel, RelAdd, RightResidual, Star, Union, show
 from relspark.typing import Typer, TypeMismatch
@@ -42,6 +42,31 @@ def test_normalize_keeps_meaning():
         assert ev(normalize(t)) == ev(t), show(t)
 
 
+def special_term(rng, depth=3):
+    """Terms over A and its specialisation K."""
+    ends = lambda: rng.choice(("A", "K"))
+    if depth == 0 or rng.random() < 0.15:
+        return rng.choice([Rel("r", "A", "A"), Rel("s", "K", "A"), Rel("t", "K", "K"), Id(ends()), Full(ends(), ends())])
+    if rng.random() < 0.3:
+        return rng.choice([Converse, Compl, Plus])(special_term(rng, depth - 1))
+    kind = rng.choice([Union, Inter, Diff, Compose, Equiv, Incl, RelAdd])
+    return kind(special_term(rng, depth - 1), special_term(rng, depth - 1))
+
+
+def test_normalize_keeps_meaning_with_specialisations():
+    c = Catalog(None, [("K", "A")])
+    for n, a, b in (("r", "A", "A"), ("s", "K", "A"), ("t", "K", "K")):
+        c.relation(n, a, b)
+    rng, typer = random.Random(15), Typer(c)
+    universe = Universe(typer.signature, c.lattice.leq)
+    for _ in range(3000):
+        atoms = {"A": range(4), "K": range(rng.randint(0, 3))}
+        data = {(n, a, b): [(x, y) for x in atoms[a] for y in atoms[b] if rng.random() < 0.4] for n, a, b in (("r", "A", "A"), ("s", "K", "A"), ("t", "K", "K"))}
+        ev = SetEvaluator(data, atoms, typer.signature)
+        t = special_term(rng)
+        assert ev(normalize(t, universe=universe)) == ev(t), (show(t), show(normalize(t, universe=universe)))
+
+
 def test_conjuncts_hold_together_iff_the_rule_does():
     rng, typer = random.Random(6), Typer(catalog())
     for _ in range(500):
