@@ -19,7 +19,8 @@ order_depth) orders a conversation without any task holding all of it.
 Defined results: a null conversation id is a conversation of its own; a null turn sorts first, as -1; a
 null or empty text is an empty prompt; of calls that repeat an id the first by (turn, index) counts
 and n_calls says how many there are; of several results likewise. A result without a call has the
-status ``orphan``, a call without a result ``unanswered``. Text that isn't valid JSON is plain text.
+status ``orphan``, a call without a result ``unanswered``. Text that isn't valid JSON is plain text, and so is
+JSON with NaN, Infinity or more depth than the parser takes; halves of surrogate pairs stay as escapes.
 What can be neither gets a row of its own with the status ``unlinked``, no call id, and its content as
 the result: a message whose role is null or none of the four, a tool's message without a
 ``tool_call_id``, and an entry of ``tool_calls`` that isn't an object.
@@ -28,6 +29,7 @@ the result: a message whose role is null or none of the four, a tool's message w
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,8 +45,20 @@ SCHEMAS = {
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def unpaired(text: str) -> str:
+    """The text with halves of surrogate pairs, which UTF-8 can't hold, as JSON escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return unpaired(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _no_number(name: str):
+    raise ValueError(f"{name} is not JSON")
 
 
 def problems(value, schema: dict, at: str = "$") -> list[str]:
@@ -80,7 +94,8 @@ def _parsed(role: str | None, text: str) -> tuple[list, dict | None]:
     """The entries of ``tool_calls`` and the result that a message holds, if its text is such JSON."""
     if role in ("assistant", "tool") and text.lstrip()[:1] == "{":
         try:
-            value = json.loads(text)
+            value = json.loads(text, parse_constant=_no_number)
+            canonical(value)  # what can't be written again, for its depth or a number beyond doubles, counts as text
         except (ValueError, RecursionError):
             return [], None
         calls = value.get("tool_calls")
@@ -107,9 +122,9 @@ def events(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "t
                         out.append((conv, turn, i, None, None, None, canonical(c), []))
                         continue
                     wants = c.get("depends")
-                    out.append((conv, turn, i, True, str(c.get("id")), str(c.get("name")), canonical(c.get("arguments")), [str(x) for x in wants] if isinstance(wants, list) else []))
+                    out.append((conv, turn, i, True, unpaired(str(c.get("id"))), unpaired(str(c.get("name"))), canonical(c.get("arguments")), [unpaired(str(x)) for x in wants] if isinstance(wants, list) else []))
                 if result is not None:
-                    out.append((conv, turn, 0, False, str(result["tool_call_id"]), None, canonical(result.get("content")), []))
+                    out.append((conv, turn, 0, False, unpaired(str(result["tool_call_id"])), None, canonical(result.get("content")), []))
                 elif role not in ("user", "system", "assistant"):
                     out.append((conv, turn, 0, None, None, None, canonical(text), []))
                 elif plain and not any(isinstance(c, dict) for c in calls):
@@ -198,7 +213,7 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS, **c
                 else:
                     wrong = problems(arguments, schemas[r["name"]]) if r["name"] in schemas else [f"unknown tool {r['name']}"]
                 valid.append(not wrong)
-                error.append("; ".join(wrong) or None)
+                error.append(unpaired("; ".join(wrong)) or None)
                 text.append(canonical({"conv_id": r["conv_id"], "id": r["call_id"], "name": r["name"], "arguments": arguments, "result": json.loads(r["result"]) if r["result"] is not None else None}))
             kept = batch.drop_columns(["arguments", "result"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(valid, pa.bool_()), pa.array(error, pa.string()), pa.array(text, pa.string())], [*kept.schema.names, "valid", "error", "json"])

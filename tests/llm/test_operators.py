@@ -572,3 +572,15 @@ def test_license_scan_against_plain_walks(spark, messy):
     want = collections.Counter((i, *plain_scan(t)) for i, t in plain(docs))
     assert collections.Counter((r["doc_id"], r["labels"], round(r["score"], 9)) for r in got) == want
     assert next(r["labels"] for r in got if r["doc_id"] == 1 and r["n_words"] == 30) == ""
+
+
+def test_odd_json_in_messages(spark):
+    call = lambda i, a: '{"tool_calls": [{"id": "%s", "name": "reply", "arguments": %s}]}' % (i, a)
+    rows = [(1, 0, "assistant", call("a", '{"prompt": "\\ud800"}')), (1, 1, "tool", '{"tool_call_id": "a", "content": "x\\udfff"}'), (2, 0, "assistant", call("n", "NaN")), (3, 0, "assistant", call("d", "[" * 60000 + "]" * 60000)), (4, 0, "assistant", call("\\ud801", '{"prompt": "\\ud83d\\ude00"}')), (5, 0, "assistant", call("e", "1e999"))]
+    got = {(r["conv_id"], r["call_id"]): r for r in chat.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("name", F.lit(1))).collect()}
+    linked = got[1, "a"]
+    assert linked["status"] == "linked" and linked["valid"] and json.loads(linked["json"])["arguments"] == {"prompt": "\ud800"} and "\\udfff" in linked["json"]
+    assert json.loads(got[4, "\\ud801"]["json"])["arguments"] == {"prompt": "\U0001f600"}
+    assert all("NaN" not in r["json"] or r["name"] is None for r in got.values()) and {k[0] for k in got} == {1, 2, 3, 4, 5}
+    for r in got.values():
+        json.loads(r["json"], parse_constant=lambda x: 1 / 0)
