@@ -34,6 +34,7 @@ from .toxicity import remainder
 
 SAMPLE_ROWS = 4_000
 SAMPLE_BYTES = 128 << 20
+BROADCAST_LANGUAGES = 100_000  # rows of a label and a number; beyond that the texts are shuffled to their language's row
 DENSE = 64  # centroids
 _ORDERS = (1, 2, 3, 4)
 _MARKS = bytes(range(0x41)) + b"[\\]^_`{|}~\x7f"
@@ -152,7 +153,8 @@ def fit(documents: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     share = max(1, sample_rows // languages)
     # a threshold on a uniform hash passes about twice the rows wanted
     bound = F.least(F.lit(1.0), (2.0 * share + 50) / F.col("n")) * (1 << 30)
-    chosen = known.join(counts.select("lang", bound.cast("long").alias("bound")), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("bound"))
+    bounds = counts.select("lang", bound.cast("long").alias("bound"))
+    chosen = known.join(F.broadcast(bounds) if languages <= BROADCAST_LANGUAGES else bounds, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("bound"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
