@@ -13,12 +13,12 @@ training holds is one more edge over the whole lattice, with its count less ``di
 discounts free goes to the segmentations (so the sum over all texts stays at most one). The base score
 is the add-0.1 unigram model over the same words.
 
-Scale: documents are dealt by hash into buckets of bounded text. A bucket sends each of its
-distinct words once, with its training count, to the part of the vocabulary that the word's hash
-names; parts sum the counts, fit and score their words, and send the values back, packed, to the
-buckets that asked. No table of words is broadcast or collected, and a frequent word costs a bucket
-no more than a rare one. Only expected counts of the pieces, as many as the vocabulary has, come to
-the driver.
+Scale: documents are dealt by written row numbers into buckets of bounded text. A bucket names each of
+its distinct words once, with its training count; those rows, which grow with the text and not with the
+number of buckets squared, are summed by word, the words' table is fitted and scored where it lies, and a
+join by word takes the values back to the buckets. No table of words is broadcast or collected, and a
+frequent word costs a bucket no more than a rare one, so no word has more rows than there are buckets.
+Only expected counts of the pieces, as many as the vocabulary has, come to the driver.
 
 Defined results: a null text is empty and has the end alone. Repeated rows are scored and, if in
 training, learned from as often as they occur. Without training rows the base score is 0.0 and the
@@ -28,10 +28,10 @@ pieces keep their prior.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -259,10 +259,6 @@ def _numbered(texts: list[bytes | None]) -> tuple[list[bytes], list[np.ndarray]]
     return list(numbers), own
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in words), _U, len(words))
-
-
 _lattices: dict[str, Lattice] = {}  # lives as long as a Python worker
 
 
@@ -277,51 +273,27 @@ def lm_score(docs: DataFrame, vocabulary_path: str, in_training: Column, *, id_c
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(in_training, F.lit(False)).alias("train"))
     kind = source.schema["id"].dataType.simpleString()
     chars, ends = source.agg(F.sum(F.length("text")), F.sum(F.col("train").cast("long"))).first()
-    parts, ends = max(64, -(-(chars or 0) // bucket_chars)), ends or 0
-    dealt = source.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int"))
-
-    def ordered(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The words' order by hash, and where each part begins in it."""
-        keys = _hashes(words)
-        order = np.argsort(keys)
-        part = ((keys[order] >> _U(32)) * _U(parts)) >> _U(32)
-        return order, np.searchsorted(part, np.arange(parts + 1, dtype=_U))
+    buckets, ends = max(64, -(-(chars or 0) // bucket_chars)), ends or 0
+    dealt = source.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
+    dealt = keep(dealt, "dealt", folder)  # written, so that both passes find a row in the same bucket
 
     def gather(table: pa.Table) -> pa.Table:
+        """The bucket's distinct words, each with its number in training texts."""
         words, own = _numbered(table.column("text").cast(pa.binary()).to_pylist())
-        train = table.column("train").to_pylist()
-        mine = [o for o, t in zip(own, train, strict=True) if t]
-        counts = np.bincount(np.concatenate(mine) if mine else np.zeros(0, np.int64), minlength=len(words)).astype("<i8")
-        order, cuts = ordered(words)
-        rows = [(k, b" ".join([words[i] for i in order[cuts[k] : cuts[k + 1]]]), counts[order[cuts[k] : cuts[k + 1]]].tobytes()) for k in range(parts) if cuts[k + 1] > cuts[k]]
-        bucket = pa.array([table.column("bucket")[0].as_py()] * len(rows), pa.int32())
-        return pa.table([bucket, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "part", "words", "counts"])
-
-    asked = dealt.groupBy("bucket").applyInArrow(gather, "bucket int, part int, words binary, counts binary")
-
-    def add(table: pa.Table) -> pa.Table:
-        """A part's distinct words with their counts (bucket -1), and which of them each bucket asked for."""
-        numbers, asked = _Numbers(), []
-        for x in table.column("words").to_pylist():
-            words = x.split(b" ")
-            asked.append(np.fromiter(map(numbers.__getitem__, words), "<i4", len(words)))
-        total = np.zeros(len(numbers), np.int64)
-        for at, x in zip(asked, table.column("counts").to_pylist(), strict=True):
-            total[at] += np.frombuffer(x, "<i8")
-        n, part = len(asked), table.column("part")[0].as_py()
-        columns = [[*table.column("bucket").to_pylist(), -1], [part] * (n + 1), [*[a.tobytes() for a in asked], b" ".join(numbers)], [None] * n + [total.tobytes()]]
-        facts = [[0] * n + [int(total.sum())], [0] * n + [int((total > 0).sum())]]
-        return pa.table([pa.array(c, t) for c, t in zip([*columns, *facts], (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["bucket", "part", "body", "counts", "tokens", "types"])
-
-    summed = keep(asked.groupBy("part").applyInArrow(add, "bucket int, part int, body binary, counts binary, tokens long, types long"), "summed", folder)
-    known = summed.where("bucket = -1").select("part", F.col("body").alias("words"), "counts")
-    tokens, types = (int(x or 0) for x in summed.agg(F.sum("tokens"), F.sum("types")).first())
+        mine = [o for o, t in zip(own, table.column("train").to_pylist(), strict=True) if t]
+        counts = np.bincount(np.concatenate(mine) if mine else np.zeros(0, np.int64), minlength=len(words))
+        bucket = pa.array(np.full(len(words), table.column("bucket")[0].as_py(), np.int32))
+        return pa.table([bucket, pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["bucket", "word", "n"])
+
+    asked = keep(dealt.groupBy("bucket").applyInArrow(gather, "bucket int, word binary, n long"), "asked", folder)
+    known = keep(asked.groupBy("word").agg(F.sum("n").alias("n")), "known", folder)
+    tokens, types = (int(x or 0) for x in known.agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long"))).first())
     tokens, types = tokens + ends, types + (ends > 0)
 
     lattice = _lattice(vocabulary_path)
     size, p = lattice.size, lattice.prior
     for _ in range(rounds if tokens else 0):
-        p = _maximised(known, vocabulary_path, spark.sparkContext.broadcast(p), size, ends, prior_weight * lattice.prior)
+        p = _maximised(known.where("n > 0"), vocabulary_path, spark.sparkContext.broadcast(p), size, ends, prior_weight * lattice.prior)
     end_probability = p[-1] / (1 - p[lattice.continues].sum())  # an end stands where a word could begin
     shipped = spark.sparkContext.broadcast(p)
 
@@ -332,25 +304,21 @@ def lm_score(docs: DataFrame, vocabulary_path: str, in_training: Column, *, id_c
         with np.errstate(divide="ignore"):
             return np.logaddexp(np.log(np.maximum(count - discount, 0) / tokens), math.log(discount * types / tokens) + spelled) / math.log(10)
 
-    def answer(words: pa.Table, wants: pa.Table) -> pa.Table:
-        body = words.column("words")[0].as_py()
-        count = np.frombuffer(words.column("counts")[0].as_py(), "<i8")
-        value = both(count, _lattice(vocabulary_path).log_probability(body.split(b" "), shipped.value))
-        at = [np.frombuffer(x, "<i4") for x in wants.column("body").to_pylist()]
-        if not wants.num_columns or not words.num_columns:
-            raise ValueError(f"{words.schema.names} {wants.schema.names}")
-        return pa.table([wants.column("bucket"), wants.column("of"), pa.array([count[a].tobytes() for a in at], pa.binary()), pa.array([value[a].tobytes() for a in at], pa.binary())], ["bucket", "part", "counts", "values"])
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, counts in _runs(batches):
+            value = both(counts, _lattice(vocabulary_path).log_probability(words, shipped.value))
+            yield pa.record_batch([pa.array(words, pa.binary()), pa.array(counts), pa.array(value)], ["word", "n", "value"])
 
-    wants = summed.where("bucket >= 0").select(F.col("part").alias("of"), "bucket", "body")
-    back = known.groupBy("part").cogroup(wants.groupBy("of")).applyInArrow(answer, "bucket int, part int, counts binary, values binary")
+    valued = known.mapInArrow(answer, "word binary, n long, value double")
+    back = asked.drop("n").join(valued.hint("merge"), "word")
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         words, own = _numbered(texts.column("text").cast(pa.binary()).to_pylist())
-        order, _ = ordered(words)
-        answers = answers.sort_by("part")
         count, value = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
-        count[order] = np.frombuffer(b"".join(answers.column("counts").to_pylist()), "<i8")
-        value[order] = np.frombuffer(b"".join(answers.column("values").to_pylist()), np.float64)
+        if words:
+            number = dict(zip(words, range(len(words)), strict=True))
+            at = np.fromiter(map(number.__getitem__, answers.column("word").to_pylist()), np.int64, len(words))
+            count[at], value[at] = answers.column("n").to_numpy(), answers.column("value").to_numpy()
         count[-1] = ends
         value[-1] = both(np.array([ends]), np.array([math.log(end_probability)]))[0]
         base = np.log10((count + 0.1) / (tokens + 0.1 * (types + 1)))
@@ -362,16 +330,26 @@ def lm_score(docs: DataFrame, vocabulary_path: str, in_training: Column, *, id_c
     return out.withColumnsRenamed({"id": id_col, "train": "in_training"})
 
 
+def _runs(batches: Iterable[pa.RecordBatch], most: int = 65_536) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Words and counts of the batches, about ``most`` at a time."""
+    words, counts = [], []
+    for batch in batches:
+        words += batch.column(0).to_pylist()
+        counts.append(batch.column(1).to_numpy())
+        if len(words) >= most:
+            yield words, np.concatenate(counts)
+            words, counts = [], []
+    if words:
+        yield words, np.concatenate(counts)
+
+
 def _maximised(known: DataFrame, vocabulary_path: str, shipped, size: int, ends: int, prior: np.ndarray) -> np.ndarray:
     """The next piece probabilities: expected counts over all training words, with the prior's counts."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
-        for batch in batches:
-            for body, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words, count = body.split(b" "), np.frombuffer(counts, "<i8")
-                seen = np.flatnonzero(count)
-                total += _lattice(vocabulary_path).expected([words[i] for i in seen], count[seen], shipped.value)
+        for words, counts in _runs(batches):
+            total += _lattice(vocabulary_path).expected(words, counts, shipped.value)
         yield pa.record_batch([pa.array(np.arange(size)), pa.array(total)], ["piece", "n"])
 
     sums = known.mapInArrow(run, "piece long, n double").where("n > 0").groupBy("piece").agg(F.sum("n").alias("n"))

@@ -159,6 +159,16 @@ def test_lm_scores(spark, messy):
     assert lmscore.lm_score(messy.limit(0), lmscore.vocabulary_file(), F.lit(True)).count() == 0
 
 
+def test_lm_scores_do_not_depend_on_buckets(spark):
+    rows = [(None, "The same row again")] * 40 + [(i, f"the word{i % 7} and Word{i % 3} " * (i % 4)) for i in range(40)] + [(41, None), (42, "x" * 3000), (42, "x" * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, got = ([(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in lmscore.lm_score(docs, lmscore.vocabulary_file(), F.col("doc_id") % 4 != 0, bucket_chars=chars).collect()] for chars in (12_000_000, 40))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want, got = sorted(want, key=key), sorted(got, key=key)
+    assert len(got) == len(rows) and [r[:4] for r in want] == [r[:4] for r in got]
+    assert np.allclose([r[4:] for r in want], [r[4:] for r in got], rtol=1e-12)
+
+
 def test_lattice_sums_all_segmentations():
     lat = lmscore.Lattice(lmscore.vocabulary_file())
 
