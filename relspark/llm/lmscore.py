@@ -13,11 +13,11 @@ training holds is one more edge over the whole lattice, with its count less ``di
 discounts free goes to the segmentations (so the sum over all texts stays at most one). The base score
 is the add-0.1 unigram model over the same words.
 
-Scale: documents are dealt by written row numbers into buckets of bounded text. A bucket names each of
+Scale: rows that follow one another form buckets of bounded text, which are written. A bucket names each of
 its distinct words once, with its training count; those rows, which grow with the text and not with the
 number of buckets squared, are summed by word, the words' table is fitted and scored where it lies, and a
 join by word takes the values back to the buckets. No table of words is broadcast or collected, and a
-frequent word costs a bucket no more than a rare one, so no word has more rows than there are buckets.
+frequent word costs a bucket no more than a rare one, so no word has more rows than there are buckets (and tasks that share one).
 Only expected counts of the pieces, as many as the vocabulary has, come to the driver.
 
 Defined results: a null text is empty and has the end alone. Repeated rows are scored and, if in
@@ -32,10 +32,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import keep, shared_dir
+from ._store import keep, shared_dir, small_batches
 from ._text import LOWER
 from .toxicity import remainder
 
@@ -250,13 +252,13 @@ class _Numbers(dict):
         return value
 
 
-def _numbered(texts: list[bytes | None]) -> tuple[list[bytes], list[np.ndarray]]:
-    numbers = _Numbers()
+def _numbered(texts: list[bytes | None], numbers: _Numbers) -> list[np.ndarray]:
+    """The numbers of each text's words; new words are added to ``numbers``."""
     own = []
     for t in texts:
         words = t.translate(LOWER).split() if t else []
         own.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-    return list(numbers), own
+    return own
 
 
 _lattices: dict[str, Lattice] = {}  # lives as long as a Python worker
@@ -272,20 +274,49 @@ def lm_score(docs: DataFrame, vocabulary_path: str, in_training: Column, *, id_c
     folder = shared_dir(spark)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(in_training, F.lit(False)).alias("train"))
     kind = source.schema["id"].dataType.simpleString()
-    chars, ends = source.agg(F.sum(F.length("text")), F.sum(F.col("train").cast("long"))).first()
-    buckets, ends = max(64, -(-(chars or 0) // bucket_chars)), ends or 0
-    dealt = source.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
-    dealt = keep(dealt, "dealt", folder)  # written, so that both passes find a row in the same bucket
-
-    def gather(table: pa.Table) -> pa.Table:
-        """The bucket's distinct words, each with its number in training texts."""
-        words, own = _numbered(table.column("text").cast(pa.binary()).to_pylist())
-        mine = [o for o, t in zip(own, table.column("train").to_pylist(), strict=True) if t]
-        counts = np.bincount(np.concatenate(mine) if mine else np.zeros(0, np.int64), minlength=len(words))
-        bucket = pa.array(np.full(len(words), table.column("bucket")[0].as_py(), np.int32))
-        return pa.table([bucket, pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["bucket", "word", "n"])
-
-    asked = keep(dealt.groupBy("bucket").applyInArrow(gather, "bucket int, word binary, n long"), "asked", folder)
+    ends = source.agg(F.sum(F.col("train").cast("long"))).first()[0] or 0
+    small_batches(spark)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that follow one another are a bucket, until their text reaches ``bucket_chars`` bytes."""
+        bucket, held = TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1).cast(pa.binary())), 0).to_pylist()
+            own = np.empty(len(sizes), np.int64)
+            for i, size in enumerate(sizes):
+                if held and held + size > bucket_chars:
+                    bucket, held = bucket + 1, 0
+                own[i], held = bucket, held + size
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], ["id", "text", "train", "bucket"])
+
+    dealt = keep(source.mapInArrow(deal, f"id {kind}, text string, train boolean, bucket long"), "dealt", folder)  # written, so that both passes find a row in the same bucket
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct words of each bucket's rows in this task, each with its number in training texts."""
+        numbers, counts, now = _Numbers(), np.zeros(0, np.int64), None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            words = list(numbers)
+            for k in range(0, len(words), 65_536):
+                part = words[k : k + 65_536]
+                yield pa.record_batch([pa.array(np.full(len(part), now, np.int64)), pa.array(part, pa.binary()), pa.array(counts[k : k + 65_536])], ["bucket", "word", "n"])
+
+        for batch in batches:
+            buckets = batch.column(0).to_numpy()
+            for rows in np.split(np.arange(len(buckets)), np.flatnonzero(np.diff(buckets)) + 1) if len(buckets) else []:
+                if buckets[rows[0]] != now:
+                    yield from flush()
+                    numbers, counts, now = _Numbers(), np.zeros(0, np.int64), buckets[rows[0]]
+                part = batch.slice(rows[0], len(rows))
+                own = _numbered(part.column(1).cast(pa.binary()).to_pylist(), numbers)
+                mine = [o for o, t in zip(own, part.column(2).to_pylist(), strict=True) if t]
+                counts = np.pad(counts, (0, len(numbers) - len(counts)))
+                if mine:
+                    counts += np.bincount(np.concatenate(mine), minlength=len(numbers))
+        yield from flush()
+
+    # a bucket that two tasks read names a word twice, which changes neither sums nor answers
+    asked = keep(dealt.select("bucket", "text", "train").mapInArrow(gather, "bucket long, word binary, n long"), "asked", folder)
     known = keep(asked.groupBy("word").agg(F.sum("n").alias("n")), "known", folder)
     tokens, types = (int(x or 0) for x in known.agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long"))).first())
     tokens, types = tokens + ends, types + (ends > 0)
@@ -313,16 +344,16 @@ def lm_score(docs: DataFrame, vocabulary_path: str, in_training: Column, *, id_c
     back = asked.drop("n").join(valued.hint("merge"), "word")
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        words, own = _numbered(texts.column("text").cast(pa.binary()).to_pylist())
-        count, value = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
-        if words:
-            number = dict(zip(words, range(len(words)), strict=True))
-            at = np.fromiter(map(number.__getitem__, answers.column("word").to_pylist()), np.int64, len(words))
+        numbers = _Numbers()
+        own = _numbered(texts.column("text").cast(pa.binary()).to_pylist(), numbers)
+        count, value = np.zeros(len(numbers) + 1), np.zeros(len(numbers) + 1)
+        if numbers:
+            at = np.fromiter(map(numbers.__getitem__, answers.column("word").to_pylist()), np.int64, answers.num_rows)
             count[at], value[at] = answers.column("n").to_numpy(), answers.column("value").to_numpy()
         count[-1] = ends
         value[-1] = both(np.array([ends]), np.array([math.log(end_probability)]))[0]
         base = np.log10((count + 0.1) / (tokens + 0.1 * (types + 1)))
-        rows = [np.append(o, len(words)) for o in own]
+        rows = [np.append(o, len(numbers)) for o in own]
         columns = [[len(r) for r in rows], [int((count[r] > 0).sum()) for r in rows], [tokens] * len(rows)], [[math.fsum(base[r]) for r in rows], [math.fsum(value[r]) for r in rows]]
         return pa.table([texts.column("id"), texts.column("train"), *[pa.array(c, pa.int64()) for c in columns[0]], *[pa.array(c, pa.float64()) for c in columns[1]]], ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
