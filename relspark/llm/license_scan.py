@@ -29,13 +29,14 @@ SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Phrases whose every place is counted, and their labels.
 PHRASES = (
-    ("mit license", "mit"),
+    ("under the mit license", "mit"),
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
 
 # Paragraphs of well-known public licences and their notices, in words, and their labels.
 NOTICES = (
+    ("mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),

@@ -516,6 +516,12 @@ def test_license_scan(spark, messy):
     assert license_scan.scan_licenses(messy.limit(0)).count() == 0
 
 
+def test_license_phrases_are_the_contracts(spark):
+    rows = [(1, "MIT License"), (2, "x Under the MIT-License, under_the mit license"), (3, "under a mit license"), (4, "Apache License, Version 2; CC-BY-NC")]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).drop("score").collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 0, None, None, "", "mit"), (2, 9, 2, 1, 5, "mit", "mit"), (3, 4, 0, None, None, "", "mit"), (4, 7, 2, 0, 4, "apache-2,cc-by-nc", "apache-2,cc-by-nc")]
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_duckdb(spark, name):
     check(spark, queries.queries()[name], queries.oracle_sql()[name], "sf0.001")
