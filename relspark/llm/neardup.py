@@ -58,7 +58,7 @@ class NearDup:
         return self.bands * self.rows
 
 
-def superminhash(sets: list[np.ndarray], slots: int, elements: int = 1 << 16) -> np.ndarray:
+def superminhash(sets: list[np.ndarray], slots: int, elements: int = 1 << 14) -> np.ndarray:
     """Signatures (texts x slots) of sets of 64-bit hashes, visit number above 32 random bits; empty sets keep the top value."""
     out = np.full((len(sets), slots), _EMPTY, np.uint64)
     start, total = 0, 0
@@ -130,7 +130,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, how: NearDup) -> DataFr
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, how: NearDup) -> DataFrame:
-    """node, hashes (the full sorted set) of the given nodes, each from one text: that of its smallest id, or one without an id."""
+    """node, hashes (the full sorted set) and, if ``nodes`` has it, central of the given nodes, each from one text: that of its smallest id, or one without an id."""
     texts = docs.select(F.col(id_col).alias("low"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +144,15 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, how: Ne
 
     made = "node long, d long, m long, hashes array<long>"
     own = (F.col("d") == F.col("digest")) & (F.col("m") == F.col("more"))
-    nodes = nodes.select("node", "digest", "more", "low")
+    role = [c for c in nodes.columns if c == "central"]
+    nodes = nodes.select("node", "digest", "more", "low", *role)
     named = texts.join(nodes.where("low IS NOT NULL").select("low", "node"), "low").select("node", "text").mapInArrow(run, made)
-    named = named.join(nodes.select(F.col("node").alias("n"), "digest", "more"), (F.col("node") == F.col("n")) & own)  # a repeated id may have other texts
-    found = named.select("node", "hashes")
-    nameless = nodes.where("low IS NULL").select(F.col("node").alias("n"), "digest", "more")
+    named = named.join(nodes.select(F.col("node").alias("n"), "digest", "more", *role), (F.col("node") == F.col("n")) & own)  # a repeated id may have other texts
+    found = named.select("node", *role, "hashes")
+    nameless = nodes.where("low IS NULL").select(F.col("node").alias("n"), "digest", "more", *role)
     if not nameless.isEmpty():
         unnamed = texts.where("low IS NULL").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(run, made)
-        found = found.union(unnamed.join(nameless, own).select(F.col("n").alias("node"), "hashes"))
+        found = found.union(unnamed.join(nameless, own).select(F.col("n").alias("node"), *role, "hashes"))
     return found.dropDuplicates(["node"])
 
 
@@ -164,9 +165,9 @@ def _digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
+def verified(pairs: DataFrame, firsts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; ``firsts``: the sets of every a, of which one copy goes to each pair."""
+    left = firsts.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
     shared = F.size(F.array_intersect("ha", "hb"))
     linked = shared * 100 >= (F.size("ha") + F.size("hb") - shared) * percent
@@ -254,10 +255,11 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     shared = keep(shared.join(centres, "key").select("key", "node", "n", F.col("c.node").alias("centre"), F.col("c.n").alias("size")).where("node <> centre"), "stars", folder)
     remove(spark, f"{folder}/buckets")
 
-    busy = shared.select("node").union(shared.select("centre")).distinct()
-    sets = keep(_sets(docs, id_col, text_col, nodes.join(busy, "node", "left_semi"), how), "sets", folder)
-    pairs = shared.where(_sizes_fit("n", "size", how.percent)).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    links = keep(verified(pairs, sets, how.percent), "links", folder)
+    # popularity orders all nodes, so two of them have the same centre in all their buckets; the sets of mere members are shuffled once
+    busy = shared.select("node", F.lit(False).alias("central")).union(shared.select("centre", F.lit(True))).groupBy("node").agg(F.max("central").alias("central"))
+    sets = keep(_sets(docs, id_col, text_col, nodes.join(busy, "node"), how), "sets", folder)
+    pairs = shared.where(_sizes_fit("n", "size", how.percent)).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    links = keep(verified(pairs, sets.where("central"), sets, how.percent), "links", folder)
     roots = components(links, folder, "c", how.union_find_links)
 
     # pairs with a bucket's centre are decided; what is open are the other members that still are in different components
@@ -265,7 +267,7 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     parted = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
     open_ = keep(rooted.join(parted, "key").select("node", "root").distinct(), "open", folder)
     if not open_.isEmpty():
-        links = keep(links.union(verified(_prefix_pairs(open_, sets, folder, how), sets, how.percent)), "all-links", folder)
+        links = keep(links.union(verified(_prefix_pairs(open_, sets, folder, how), sets, sets, how.percent)), "all-links", folder)
         roots = components(links, folder, "d", how.union_find_links)
 
     named = nodes.join(roots, "node", "left").select("digest", "more", "low", F.coalesce("root", "node").alias("root"))

@@ -119,6 +119,16 @@ def test_repeated_rows_stay_linear(spark):
     assert [r["doc_id"] for r in left] == [1]
 
 
+def test_only_centres_are_copied_to_their_pairs(spark, monkeypatch):
+    """Of 30 near copies each full set is read once, and the sets of a few centres are what goes to all pairs."""
+    docs = spark.createDataFrame([(k, f"{BASE} and then it ended{k}") for k in range(30)], "doc_id long, text string")
+    read, verified = [], neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, firsts, sets, percent: (read.append((firsts.count(), sets.count(), pairs.count())), verified(pairs, firsts, sets, percent))[1])
+    assert {r["component_id"] for r in neardup.near_duplicates(docs).collect()} == {0}
+    ((centres, every, pairs),) = read
+    assert centres < 5 and every == 30 and 29 <= pairs < 30 * centres
+
+
 def test_dedup_stage_keeps_one(spark, messy):
     left = neardup.near_dup_stage(spark, messy, "")
     assert left.columns == messy.columns
