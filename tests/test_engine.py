@@ -1,5 +1,6 @@
 """Lowered terms against the set evaluator, rules, enforcement, storage, importers and streaming on small data."""
 
+import operator
 import random
 import zipfile
 
@@ -14,6 +15,7 @@ from relspark.metamodel import meta_catalog
 from relspark.operators.closure import transitive_closure
 from relspark.operators.repair import Unstable, repair
 from relspark.oracle import SetEvaluator
+from relspark.plans import lower
 from relspark.plans.lower import Lowering, ProductTooLarge
 from relspark.rules import Checker, Enforcement, Rule, cartesian_warnings, key_groups, property_rules, property_violations
 from relspark.script import parse_script, parse_term
@@ -61,6 +63,41 @@ def test_random_terms(small):
             done += 1
 
 
+@pytest.mark.parametrize("flip", [False, True])
+@pytest.mark.parametrize("middle", ["(<)", "(<=)", "(>)", "(>=)", "-I"])
+def test_pairs_across_blocks_and_chunks(spark, monkeypatch, middle, flip):
+    monkeypatch.setattr(lower, "BLOCK", 3)
+    monkeypatch.setattr(lower, "CHUNK", 4)
+    rng = random.Random(5)
+    many, few = ([(k, rng.choice([-2.5, 0.0, 1.0, 7.0])) for k in range(n) for _ in range(2)] for n in (17, 9))
+    if flip:
+        many, few = few, many
+    c = Catalog(spark)
+    c.relation("m", "M", "V", spark.createDataFrame(many, "src long, tgt double"))
+    c.relation("f", "F", "V", spark.createDataFrame([(f"f{k}", v) for k, v in few], "src string, tgt double"))
+    fits = {"(<)": operator.lt, "(<=)": operator.le, "(>)": operator.gt, "(>=)": operator.ge, "-I": operator.ne}[middle]
+    got = Lowering(c).frame(parse_term(f"m;{middle};f~"))
+    assert sorted(map(tuple, got.collect())) == sorted({(x, f"f{y}") for x, v in many for y, w in few if fits(v, w)})
+
+
+def test_pairs_with_an_empty_side(spark):
+    c = Catalog(spark)
+    c.relation("m", "M", "V", spark.createDataFrame([(1, 2.0)], "src long, tgt double"))
+    c.relation("f", "F", "V", spark.createDataFrame([], "src long, tgt double"))
+    assert not pairs(Lowering(c).frame(parse_term("m;(<);f~"))) and not pairs(Lowering(c).frame(parse_term("f;-I;m~")))
+
+
+@pytest.mark.parametrize("middle", ["-I"])
+def test_pairs_take_few_bytes(spark, tmp_path, middle):
+    c = Catalog(spark)
+    for name, n in (("m", 5000), ("f", 1500)):
+        values = ((F.col("id") * 7919 % 9973) if middle != "-I" else F.col("id") % 25).cast("double")
+        c.relation(name, name.upper(), "V", spark.range(n).select("id", values.alias("v")), ("id", "v"), ["UNI"], key=True, proven=["UNI"])
+    Lowering(c).frame(parse_term(f"m;{middle};f~")).write.parquet(str(tmp_path / "out"))
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert size < 0.2 * spark.read.parquet(str(tmp_path / "out")).count()
+
+
 @pytest.mark.parametrize("doubling", [False, True])
 def test_closure_families(spark, doubling):
     close = lambda p: pairs(transitive_closure(spark.createDataFrame(p, "src string, tgt string"), doubling=doubling))
