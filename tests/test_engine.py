@@ -80,6 +80,15 @@ def test_pairs_across_blocks_and_chunks(spark, monkeypatch, middle, flip):
     assert sorted(map(tuple, got.collect())) == sorted({(x, f"f{y}") for x, v in many for y, w in few if fits(v, w)})
 
 
+def test_pairs_on_the_diagonal_are_an_equi_join(spark):
+    c = Catalog(spark)
+    c.relation("m", "M", "V", spark.range(4).select("id", (F.col("id") % 2).alias("v")).union(spark.range(2).select("id", F.lit(9))), ("id", "v"))
+    got = Lowering(c).frame(parse_term("(m;-I;m~) /\\ I"))
+    assert pairs(got) == {(0, 0), (1, 1)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "inline" not in plan
+
+
 def test_pairs_with_an_empty_side(spark):
     c = Catalog(spark)
     c.relation("m", "M", "V", spark.createDataFrame([(1, 2.0)], "src long, tgt double"))
