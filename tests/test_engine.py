@@ -96,7 +96,7 @@ def test_pairs_with_an_empty_side(spark):
     assert not pairs(Lowering(c).frame(parse_term("m;(<);f~"))) and not pairs(Lowering(c).frame(parse_term("f;-I;m~")))
 
 
-@pytest.mark.parametrize("middle", ["-I", "(<)"])
+@pytest.mark.parametrize("middle", ["-I", "(<)", "(>=)"])
 def test_pairs_take_few_bytes(spark, tmp_path, middle):
     c = Catalog(spark)
     for name, n in (("m", 5000), ("f", 1500)):
