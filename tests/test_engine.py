@@ -107,7 +107,7 @@ def test_pairs_take_few_bytes(spark, tmp_path, middle):
     assert size < 0.2 * spark.read.parquet(str(tmp_path / "out")).count()
 
 
-@pytest.mark.parametrize("middle", ["(>=)"])
+@pytest.mark.parametrize("middle", ["(<)", "(>=)"])
 def test_pairs_are_written_in_long_pages(spark, tmp_path, middle):
     own = spark.newSession()
     c = Catalog(own)
