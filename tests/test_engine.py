@@ -130,6 +130,20 @@ def test_pairs_keep_settings_of_files(spark):
     assert own.conf.get("spark.sql.parquet.compression.codec") == "gzip"
 
 
+@pytest.mark.parametrize("middle", ["(<)", "(>=)"])
+def test_pairs_take_few_bytes_in_the_callers_files(spark, tmp_path, middle):
+    own = spark.newSession()
+    own.conf.set("spark.sql.parquet.compression.codec", "snappy")
+    c = Catalog(own)
+    for name, n in (("m", 5000), ("f", 1500)):
+        c.relation(name, name.upper(), "V", own.range(n).select("id", (F.col("id") * 7919 % 9973).cast("double").alias("v")), ("id", "v"), ["UNI"], key=True, proven=["UNI"])
+    Lowering(c).frame(parse_term(f"m;{middle};f~")).write.parquet(str(tmp_path / "out"))
+    many, few = ([k * 7919 % 9973 for k in range(n)] for n in (5000, 1500))
+    rows = sum(({"(<)": operator.lt, "(>=)": operator.ge}[middle])(x, y) for x in many for y in few)
+    assert own.conf.get("spark.sql.parquet.compression.codec") == "snappy" and own.read.parquet(str(tmp_path / "out")).count() == rows
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.115 * rows
+
+
 @pytest.mark.parametrize("doubling", [False, True])
 def test_closure_families(spark, doubling):
     close = lambda p: pairs(transitive_closure(spark.createDataFrame(p, "src string, tgt string"), doubling=doubling))
