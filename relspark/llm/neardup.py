@@ -32,6 +32,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,9 @@ from pyspark.sql import functions as F
 from ._store import keep, remove, shared_dir
 from ._text import WordHashes, chunks, free_name, mix, shingles, word_hashes
 
+#: Shingles whose sets a round of `verified_in_rounds` shuffles, about 0.2 GB a side, and the most rounds, each of which reads all sets.
+ROUND, MOST_ROUNDS = 25_000_000, 8
+
 _STEP = 0x9E3779B97F4A7C15
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -129,9 +133,12 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, how: NearDup) -> DataFr
     return source.mapInArrow(run, f"id {kind}, version long, n_shingles long, digest long, more long, bands array<long>")
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, how: NearDup) -> DataFrame:
+def _sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, how: NearDup, folder: str | None = None) -> DataFrame:
     """node, hashes (the full sorted set) and, if ``nodes`` has it, central of the given nodes, each from one text: that of its smallest id, or one without an id."""
+    folder = folder or shared_dir(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("low"), F.col(text_col).alias("text"))
+    role = [c for c in nodes.columns if c == "central"]
+    known = ["node", "digest", "more", *role]  # they pass through Python with the text, so that only texts are shuffled, not sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -140,20 +147,23 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, how: Ne
             digest, more = _digests(sets)
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             hashes = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            yield pa.record_batch([batch.column("node"), pa.array(digest), pa.array(more), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes))], ["node", "d", "m", "hashes"])
+            yield pa.record_batch([*map(batch.column, known), pa.array(digest), pa.array(more), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes))], [*known, "d", "m", "hashes"])
 
-    made = "node long, d long, m long, hashes array<long>"
-    own = (F.col("d") == F.col("digest")) & (F.col("m") == F.col("more"))
-    role = [c for c in nodes.columns if c == "central"]
-    nodes = nodes.select("node", "digest", "more", "low", *role)
-    named = texts.join(nodes.where("low IS NOT NULL").select("low", "node"), "low").select("node", "text").mapInArrow(run, made)
-    named = named.join(nodes.select(F.col("node").alias("n"), "digest", "more", *role), (F.col("node") == F.col("n")) & own)  # a repeated id may have other texts
+    made = f"node long, digest long, more long,{' central boolean,' * len(role)} d long, m long, hashes array<long>"
+    own = (F.col("d") == F.col("digest")) & (F.col("m") == F.col("more"))  # a repeated id may have other texts
+    named = texts.join(nodes.where("low IS NOT NULL").select("low", *known), "low").select(*known, "text").mapInArrow(run, made).where(own)
     found = named.select("node", *role, "hashes")
     nameless = nodes.where("low IS NULL").select(F.col("node").alias("n"), "digest", "more", *role)
     if not nameless.isEmpty():
-        unnamed = texts.where("low IS NULL").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(run, made)
-        found = found.union(unnamed.join(nameless, own).select(F.col("n").alias("node"), *role, "hashes"))
-    return found.dropDuplicates(["node"])
+        blank = [F.lit(None).cast("boolean" if c == "central" else "long").alias(c) for c in known]
+        unnamed = texts.where("low IS NULL").select(*blank, "text").mapInArrow(run, made).select(F.col("d").alias("digest"), F.col("m").alias("more"), "hashes")
+        found = found.union(unnamed.join(nameless, ["digest", "more"]).select(F.col("n").alias("node"), *role, "hashes"))
+    found = keep(found, "texts-sets", folder)
+    # only rows that repeat an id or have none give a node several sets, all equal; without such rows no set is shuffled
+    if not found.groupBy("node").count().where("count > 1").isEmpty():
+        found = keep(found.dropDuplicates(["node"]), "sets", folder)
+        remove(docs.sparkSession, f"{folder}/texts-sets")
+    return found
 
 
 def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,6 +184,14 @@ def verified(pairs: DataFrame, firsts: DataFrame, sets: DataFrame, percent: int)
     return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b")
 
 
+def verified_in_rounds(pairs: DataFrame, firsts: DataFrame, sets: DataFrame, percent: int, folder: str, name: str, volume: int) -> DataFrame:
+    """``verified``, a share of the nodes b after the other: the disk holds the shuffled sets of one share of at most about ROUND shingles; ``volume``: those of all sets."""
+    rounds = max(1, min(MOST_ROUNDS, -(-volume // ROUND)))
+    share = lambda df, node, i: df.where(F.pmod(F.xxhash64(node), F.lit(rounds)) == i) if rounds > 1 else df
+    links = [keep(verified(share(pairs, "b", i), firsts, share(sets, "node", i), percent), f"{name}{i}", folder) for i in range(rounds)]
+    return reduce(DataFrame.union, links)
+
+
 def components(links: DataFrame, folder: str, name: str, bound: int) -> DataFrame:
     """node, root (the smallest node reachable) for every node of the kept links (a, b).
 
@@ -257,9 +275,12 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     # popularity orders all nodes, so two of them have the same centre in all their buckets; the sets of mere members are shuffled once
     busy = shared.select("node", F.lit(False).alias("central")).union(shared.select("centre", F.lit(True))).groupBy("node").agg(F.max("central").alias("central"))
-    sets = keep(_sets(docs, id_col, text_col, nodes.join(busy, "node"), how), "sets", folder)
+    wanted = keep(nodes.join(busy, "node"), "wanted", folder)
+    sets = _sets(docs, id_col, text_col, wanted, how, folder)
+    volume = wanted.agg(F.sum("n")).first()[0] or 0
     pairs = shared.where(_sizes_fit("n", "size", how.percent)).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = keep(verified(pairs, sets.where("central"), sets, how.percent), "links", folder)
+    pairs = keep(pairs, "pairs", folder)
+    links = verified_in_rounds(pairs, sets.where("central"), sets, how.percent, folder, "links", volume)
     roots = components(links, folder, "c", how.union_find_links)
 
     # pairs with a bucket's centre are decided; what is open are the other members that still are in different components
@@ -267,7 +288,8 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     parted = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
     open_ = keep(rooted.join(parted, "key").select("node", "root").distinct(), "open", folder)
     if not open_.isEmpty():
-        links = keep(links.union(verified(_prefix_pairs(open_, sets, folder, how), sets, sets, how.percent)), "all-links", folder)
+        pairs = keep(_prefix_pairs(open_, sets, folder, how), "prefix-pairs", folder)
+        links = links.union(verified_in_rounds(pairs, sets, sets, how.percent, folder, "more-links", volume))
         roots = components(links, folder, "d", how.union_find_links)
 
     named = nodes.join(roots, "node", "left").select("digest", "more", "low", F.coalesce("root", "node").alias("root"))
@@ -276,7 +298,7 @@ def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     wordless = signed.where("n_shingles = 0").select("id", "version", "n_shingles", F.lit(None).cast("long").alias("group"), F.col("id").alias("component"))
     out = signed.where("n_shingles > 0").join(named, ["digest", "more"]).select(*wordless.columns).unionByName(wordless)
     out = keep(out, "out", folder)
-    for name in ("counted", "named", "stars", "sets", "links", "open", "prefix", "all-links"):
+    for name in ("counted", "named", "stars", "wanted", "texts-sets", "sets", "pairs", "open", "prefix", "prefix-pairs", *(f"{x}{i}" for x in ("links", "more-links") for i in range(MOST_ROUNDS))):
         remove(spark, f"{folder}/{name}")
     return out
 

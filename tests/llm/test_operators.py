@@ -129,6 +129,19 @@ def test_only_centres_are_copied_to_their_pairs(spark, monkeypatch):
     assert centres < 5 and every == 30 and 29 <= pairs < 30 * centres
 
 
+def test_near_duplicates_in_rounds_leave_no_shuffle_files(spark, messy, monkeypatch):
+    master = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    whole = sorted(map(tuple, neardup.near_duplicates(messy).collect()), key=str)
+    monkeypatch.setattr(neardup, "ROUND", 1)
+    rounds, verified = [], neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda *args: (rounds.append(1), verified(*args))[1])
+    found = neardup.near_duplicates(messy)
+    assert sorted(map(tuple, found.collect()), key=str) == whole and len(rounds) >= neardup.MOST_ROUNDS
+    held = master.shuffleStatuses().size()
+    neardup.keep(spark.range(1000).groupBy((neardup.F.col("id") % 7).alias("k")).count())
+    assert master.shuffleStatuses().size() <= held
+
+
 def test_dedup_stage_keeps_one(spark, messy):
     left = neardup.near_dup_stage(spark, messy, "")
     assert left.columns == messy.columns
