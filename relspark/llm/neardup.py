@@ -45,6 +45,10 @@ from ._text import WordHashes, chunks, free_name, mix, shingles, word_hashes
 #: Shingles whose sets a round of `verified_in_rounds` shuffles, about 0.2 GB a side, and the most rounds, each of which reads all sets.
 ROUND, MOST_ROUNDS = 25_000_000, 8
 
+#: Bits a wanted id of the filter that texts pass before they are shuffled, and its most bits, 32 MB: with more ids, more texts pass it in vain.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
+_PAGE = 15  # bitmap_construct_agg makes bitmaps of 2 ** 15 bits
+
 _STEP = 0x9E3779B97F4A7C15
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -151,7 +155,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, how: Ne
 
     made = f"node long, digest long, more long,{' central boolean,' * len(role)} d long, m long, hashes array<long>"
     own = (F.col("d") == F.col("digest")) & (F.col("m") == F.col("more"))  # a repeated id may have other texts
-    named = texts.join(nodes.where("low IS NOT NULL").select("low", *known), "low").select(*known, "text").mapInArrow(run, made).where(own)
+    wanted = nodes.where("low IS NOT NULL").select("low", *known)
+    named = _likely(texts, wanted).join(wanted, "low").select(*known, "text").mapInArrow(run, made).where(own)
     found = named.select("node", *role, "hashes")
     nameless = nodes.where("low IS NULL").select(F.col("node").alias("n"), "digest", "more", *role)
     if not nameless.isEmpty():
@@ -166,6 +171,17 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, how: Ne
     return found
 
 
+def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts whose id (low) is a wanted one, and about one in FILTER_BITS of the others: a bitmap of hashes, broadcast, decides without a shuffle."""
+    bits = min(MOST_FILTER_BITS, max(1 << _PAGE, FILTER_BITS * wanted.count()))
+    at = F.pmod(F.xxhash64("low"), F.lit(bits))
+    page, bit = F.shiftright(at, _PAGE).alias("page"), at.bitwiseAND(F.lit((1 << _PAGE) - 1))
+    pages = wanted.select(page, bit.alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("marks"))
+    byte = F.conv(F.hex(F.substring("marks", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    marked = F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return texts.withColumn("page", page).join(F.broadcast(pages), "page").where(marked).select(*texts.columns)
+
+
 def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     halves = np.frombuffer(b"".join(map(_digest, sets)), "<i8").reshape(-1, 2)
     return halves[:, 0], halves[:, 1]

@@ -142,6 +142,42 @@ def test_near_duplicates_in_rounds_leave_no_shuffle_files(spark, messy, monkeypa
     assert master.shuffleStatuses().size() <= held
 
 
+def shuffled(spark):
+    """Bytes written to shuffles by all stages of the session."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_only_texts_whose_sets_are_wanted_are_shuffled(spark, kind):
+    rng = np.random.default_rng(4)
+    rows = [(d, " ".join(map(str, rng.integers(0, 1 << 40, 400)))) for d in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    signed = neardup._signed(docs, "doc_id", "text", neardup.NearDup()).withColumnsRenamed({"id": "low", "n_shingles": "n"})
+    nodes = neardup.keep(signed.withColumn("node", F.col("low").cast("long")).where("node % 25 = 0").drop("bands"))
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        sets = neardup._sets(docs, "doc_id", "text", nodes, neardup.NearDup())
+        assert sorted((r["node"], len(r["hashes"])) for r in sets.collect()) == [(d, 396) for d in range(0, 500, 25)]
+        assert shuffled(spark) - before < sum(len(t) for _, t in rows) / 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+
+
+def test_filter_of_ids_loses_none(spark, monkeypatch):
+    texts = spark.range(40_000).select(F.col("id").alias("low"), F.lit("x").alias("text")).union(spark.createDataFrame([(None, "x"), (7, "y")], "low long, text string"))
+    wanted = texts.where("low % 10 = 7").select("low").distinct()
+    got = neardup._likely(texts, wanted)
+    assert got.columns == texts.columns and got.join(wanted, "low", "left_semi").count() == 4001 and got.count() < 4001 + 40_000 / 10
+    assert neardup._likely(texts, wanted.limit(0)).count() == 0
+    monkeypatch.setattr(neardup, "MOST_FILTER_BITS", 1 << 10)  # too few bits for all: more texts pass, and none is lost
+    assert neardup._likely(texts, wanted).join(wanted, "low", "left_semi").count() == 4001
+
+
 def test_dedup_stage_keeps_one(spark, messy):
     left = neardup.near_dup_stage(spark, messy, "")
     assert left.columns == messy.columns
