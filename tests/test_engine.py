@@ -4,6 +4,7 @@ import operator
 import random
 import zipfile
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,18 @@ def test_pairs_are_written_in_long_pages(spark, tmp_path, middle):
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.04 * rows
 
 
+def test_pairs_end_a_row_group_with_its_first_page(spark, tmp_path):
+    own = spark.newSession()
+    c = Catalog(own)
+    for name, n in (("m", 3000), ("f", 2500)):
+        c.relation(name, name.upper(), "V", own.range(n).select("id", (F.col("id") % 25).alias("v")), ("id", "v"), ["UNI"], key=True, proven=["UNI"])
+    Lowering(c).frame(parse_term("m;-I;f~")).write.parquet(str(tmp_path / "out"))
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "out").glob("*.parquet")]
+    most = int(own.conf.get("parquet.page.row.count.limit"))
+    assert sum(f.num_rows for f in files) == sum(x % 25 != y % 25 for x in range(3000) for y in range(2500))
+    assert max(f.num_rows for f in files) > most == max(f.row_group(k).num_rows for f in files for k in range(f.num_row_groups))
+
+
 def test_pairs_keep_settings_of_files(spark):
     own = spark.newSession()
     own.conf.set("spark.sql.parquet.compression.codec", "gzip")
